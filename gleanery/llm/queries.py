@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import exact_dedup
+from gleanery.llm import exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op5_mixing": op5_mixing,
+        "op7_exact_dedup": op7_exact_dedup,
+    }
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
