@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import exact_dedup, mixing
+from gleanery.llm import decontaminate, exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,16 +19,39 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_mixing": op5_mixing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_decontamination": op9_decontamination,
     }
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WORDS = "[w FOR w IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF w <> '']"
+_OP9 = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+    i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    n AS (SELECT DISTINCT least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+    iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g
+           FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0))),
+    dw AS (SELECT r, k, p, array_to_string(w[p : p + k - 1], ' ') AS g
+           FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, n WHERE len(w) >= k)),
+    m AS (SELECT DISTINCT r, p, k, item_id FROM dw JOIN iw USING (k, g)),
+    hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM m)) GROUP BY r),
+    it AS (SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_exact_dedup": f"""
@@ -36,4 +59,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
             FROM t""",
+        "op9_decontamination": _OP9,
     }
