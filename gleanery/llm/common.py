@@ -186,3 +186,19 @@ def lookup(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
         return np.full(len(values), -1, np.int64)
     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
     return np.where(keys[at] == values, at, -1)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, weights: DataFrame, salt_by: str, per: int = 20_000) -> DataFrame:
+    """Inner join of ``left`` with wide rows of ``right`` (one a key), a hot key's rows spread over salts.
+
+    ``weights`` (on, w) counts left's rows a key. Keys with more than max(per, HOT_SHARE of all) rows number
+    under 1/HOT_SHARE; their names and salts alone are broadcast, and their right rows are repeated once a salt.
+    """
+    total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    limit = max(per, int(total * HOT_SHARE))
+    hot = weights.where(F.col("w") > limit).select(on, F.ceil(F.col("w") / limit).cast("int").alias("salts__"))
+    if hot.isEmpty():
+        return left.join(right, on)
+    a = left.join(F.broadcast(hot), on, "left").withColumn("salt__", F.when(F.col("salts__").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("salts__")).cast("int"))).drop("salts__")
+    b = right.join(F.broadcast(hot), on, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts__") - 1, F.lit(0))))).drop("salts__")
+    return a.join(b, [on, "salt__"]).drop("salt__")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import decontaminate, exact_dedup, mixing
+from gleanery.llm import decontaminate, exact_dedup, mixing, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,11 +24,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_mixing": op5_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_decontamination": op9_decontamination,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
@@ -52,6 +57,19 @@ _OP9 = f"""
     FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
 
 
+_OP10 = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, [w FOR w IN string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+') IF w <> ''] AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.o)
+    SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o) AS component_id, documents.doc_id = min(o) AS kept
+    FROM documents LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY documents.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_exact_dedup": f"""
@@ -60,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
             FROM t""",
         "op9_decontamination": _OP9,
+        "op10_near_dedup": _OP10,
     }
