@@ -183,7 +183,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     lo, hi = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
     pieces = pieces.withColumn("words", F.coalesce(hi - lo, F.lit(0)))
-    joined = pieces.join(uses, ["sid", "block"], "left")
+    joined = pieces.join(uses.hint("merge"), ["sid", "block"], "left")  # its size can't be seen in advance, so it is never broadcast
     taken = joined.groupBy("sid", "bucket", "rn", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     per = spark.createDataFrame([(i, int(s), float(t)) for i, (s, t) in enumerate(zip(plan.sizes, plan.target, strict=True))], "sid int, source_size long, target double")
     return taken.join(F.broadcast(per), "sid").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
@@ -203,4 +203,4 @@ def mixed_blocks(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     pieces = pieces.select("sid", "block", lo.alias("at"), F.slice("words", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
     whole = pieces.groupBy("sid", "block").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])), " ").alias("text"))  # a block has block_words words at most
     names = spark.createDataFrame([(i, x) for i, x in enumerate(plan.names)], "sid int, source string")
-    return slots(spark, plan, config).join(whole, ["sid", "block"]).join(F.broadcast(names), "sid").select("shard", "source", "rank", "pass_no", "block", "text")
+    return slots(spark, plan, config).hint("merge").join(whole, ["sid", "block"]).join(F.broadcast(names), "sid").select("shard", "source", "rank", "pass_no", "block", "text")
