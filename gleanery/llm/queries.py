@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, toxicity
+from gleanery.llm import chat_format, decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return url_filter.judge(pages, url_filter.labelled_pages(pages, labels))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -41,7 +55,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
+        "op3_url_filter": op3_url_filter,
+        "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
+        "op6_html_extraction": op6_html_extraction,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
@@ -81,8 +98,20 @@ _OP10 = f"""
     FROM documents LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY documents.doc_id"""
 
 
+_ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<\\[{1}]', '', 'g'))"
+_OP4 = f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(11 + {_ESCAPED.format("role", "\\]")} + {_ESCAPED.format("text", "")}) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_chat_format": _OP4,
         "op7_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {_LOWER} AS x FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
