@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import chat_format, decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, toxicity, url_filter
+from gleanery.llm import chat_format, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, near_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op5_mixing": op5_mixing,
         "op6_html_extraction": op6_html_extraction,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
     }
