@@ -108,7 +108,7 @@ def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     marked = in_bitmap(df, F.col(key), table, power, flag)
     surely = marked.where(~F.col(flag)).drop(flag)
     rest = marked.where(F.col(flag)).drop(flag).join(gone.select(key).distinct(), key, "left_anti")
-    return surely.unionByName(rest.select(surely.columns))
+    return surely.unionByName(rest)
 
 
 def only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
