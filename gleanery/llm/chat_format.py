@@ -164,6 +164,8 @@ def canonical_json(df: DataFrame, column: str) -> DataFrame:
     """df with ``layout`` and ``turns`` of each JSON record in ``column``; both null where no layout fits or it isn't JSON."""
     schema = T.StructType([*df.schema.fields, T.StructField("layout", T.StringType()), T.StructField("turns", T._parse_datatype_string(TURNS))])
 
+    place, names = df.columns.index(column), schema.names
+
     def one(raw):
         try:
             x = json.loads(raw)
@@ -174,14 +176,14 @@ def canonical_json(df: DataFrame, column: str) -> DataFrame:
             return None, None
         rule, s = LAYOUTS[name][1], lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
         if isinstance(rule[0], str):
-            return name, [{"role": ROLES.get(s(m[rule[1]]), s(m[rule[1]])), "text": s(m[rule[2]])} for m in x[rule[0]]]
+            return name, [{"role": ROLES.get(s(m.get(rule[1])), s(m.get(rule[1]))), "text": s(m.get(rule[2]))} for m in x[rule[0]]]
         return name, [{"role": r, "text": "\n".join(t for c in p.split("+") if (t := s(x[c])) or "+" not in p)} for r, p in rule]
 
     def run(batches):
         for b in batches:
-            made = [one(r) for r in b.column(df.columns.index(column)).to_pylist()]
+            made = [one(r) for r in b.column(place).to_pylist()]
             turns = pa.array([t for _, t in made], pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for n, _ in made], pa.string()), turns], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for n, _ in made], pa.string()), turns], names)
 
     return df.mapInArrow(run, schema)
 
