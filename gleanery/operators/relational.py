@@ -63,8 +63,9 @@ def train_dev_split(df: DataFrame, key: str, ratio: float = 0.1, seed: int | Non
     keyed = df.withColumn("order__", order)
     low, high = keyed.agg(F.min("order__"), F.max("order__")).first()
     buckets = max(1, n // 100_000)
-    width = max(1, (high - low) // buckets + 1)
-    keyed = keyed.withColumn("bucket__", F.floor((F.col("order__").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("long"))
+    # doubles round, but never out of order
+    width = float(max(1, (high - low) // buckets + 1))
+    keyed = keyed.withColumn("bucket__", F.floor((F.col("order__").cast("double") - float(low)) / width))
     sizes = {r["bucket__"]: r["count"] for r in keyed.groupBy("bucket__").count().collect()}  # one number per 100 000 rows
     start, starts = 0, []
     for b in sorted(sizes):
