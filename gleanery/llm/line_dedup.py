@@ -5,10 +5,11 @@ Documents that overlap are found through shared line hashes: a line of at least
 one document pairs each later document (larger doc_id) with the line's earliest holder. These are the rare lines
 of two documents' own content; a line that many share still makes one pair a document, never all pairs. Pairs whose
 shared lines have at least ``block_words`` words are aligned by patience diff (lines unique to both sides
-anchor the alignment, recursively), and aligned runs of at least ``block_words`` words, compared byte for byte, are
-deleted from the later document. The earliest holder of a line always keeps it.
+anchor the alignment, recursively), and aligned runs of at least ``block_words`` words are deleted from the later
+document. The earliest holder of a line always keeps it. Lines stand for themselves by 64-bit hashes throughout.
 
-Only the texts of pairs move; an earliest holder of a third of all documents is spread over salts.
+Texts are read twice, to hash and to cut, and move only where they are cut; pairs move their line hashes. An earliest
+holder of a third of all documents is spread over salts.
 
 Defined cases: null text counts as empty and stays as it is (null in, null out); text without lines is left alone; a null
 doc_id is neither earlier nor later, its row is left alone; rows that share a doc_id are not paired with each other, and
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ from gleanery.llm import common, textkit
 RESULT = "doc_id long, n_lines long, n_dropped long, n_words_dropped long, text string"
 
 
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(x) for x in ".!?"]] = True
+
+
 @dataclass(frozen=True)
 class LineConfig:
     line_words: int = 5
@@ -55,7 +61,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
         z = np.zeros(0, np.int64)
         return Lines(z.astype(np.uint64), z, z, z, np.zeros(len(offsets), np.int64))
     h = textkit.word_hashes(data, starts, ends)
-    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+    stop = _STOPS[data[ends - 1]]
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     stop[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
     stop[rows[1:][rows[1:] > 0] - 1] = True
@@ -69,6 +75,28 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     return Lines(hashes, last - first + 1, starts[first] - base, ends[last] - base, at)
 
 
+def count_lines(texts: pa.Array) -> np.ndarray:
+    """Number of lines of each text, without their hashes."""
+    data, offsets = textkit.buffer_of(texts)
+    counts = np.zeros(len(texts), np.int64)
+    for a, b in textkit.chunks(offsets):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        n, word = len(part), ~textkit.WHITE[part]
+        if not n:
+            continue
+        # a line ends in a last letter of a word that is . ! or ?, or that no other word follows before a line end
+        edge = np.zeros(n + 1, bool)
+        edge[at] = True
+        last = np.flatnonzero(word & np.append(~word[1:] | edge[1:-1], True))
+        ends = _STOPS[part[last]]
+        feeds = np.searchsorted(np.flatnonzero(part == 10), last)
+        row = np.searchsorted(at, last, "right")
+        ends[:-1] |= (feeds[1:] > feeds[:-1]) | (row[1:] != row[:-1])
+        ends[-1:] = True
+        counts[a:b] = np.diff(np.searchsorted(last[ends], at))
+    return counts
+
+
 def column_lines(texts: pa.Array) -> Lines:
     data, offsets = textkit.buffer_of(texts)
     parts = [lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in textkit.chunks(offsets)]
@@ -138,35 +166,19 @@ def common_blocks(a: list, b: list, words: list[int], least: int) -> list[tuple[
     return out
 
 
-def _lines(config: LineConfig):
-    def run(batches):
-        for b in batches:
-            x = column_lines(b.column(1))
-            long = x.words >= config.line_words
-            counts = np.concatenate([[0], np.cumsum(long)])[x.rows]
-            at = pa.array(counts, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.hashes[long].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(x.words[long], pa.int32()))], ["doc_id", "hashes", "words"])
-
-    return run
+def _lines(batches):
+    for b in batches:
+        x = column_lines(b.column(1))
+        at = pa.array(x.rows, pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(x.words, pa.int32()))], ["doc_id", "hashes", "words"])
 
 
 def _align(config: LineConfig):
     def run(batches):
         for b in batches:
-            later, earlier = column_lines(b.column(2)), column_lines(b.column(3))
-            found = []
-            for r in range(b.num_rows):
-                p, q = slice(later.rows[r], later.rows[r + 1]), slice(earlier.rows[r], earlier.rows[r + 1])
-                ha, hb = later.hashes[p].tolist(), earlier.hashes[q].tolist()
-                blocks = common_blocks(ha, hb, later.words[p].tolist(), config.block_words)
-                if not blocks:
-                    continue
-                ta, tb = b.column(2)[r].as_py().encode(), b.column(3)[r].as_py().encode()
-                for i, j, n in blocks:
-                    mine = ta[later.begin[p][i] : later.end[p][i + n - 1]]
-                    if mine.split() == tb[earlier.begin[q][j] : earlier.end[q][j + n - 1]].split():
-                        found.append((b.column(0)[r].as_py(), ha[i : i + n]))
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([np.array(h, np.uint64).view(np.int64).tolist() for _, h in found], pa.list_(pa.int64()))], ["doc_id", "block"])
+            ids, later, words, earlier = (b.column(i).to_pylist() for i in range(4))
+            found = [(d, x[i : i + n]) for d, x, w, y in zip(ids, later, words, earlier, strict=True) for i, _, n in common_blocks(x, y, w, config.block_words)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], ["doc_id", "block"])
 
     return run
 
@@ -191,10 +203,16 @@ def cut(text: str, blocks: list[list[int]]) -> tuple[str, int, int, int]:
     return b"".join(kept).decode(), len(h), int(drop.sum()), int(x.words[drop].sum())
 
 
-def overlaps(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, hashes, words) of all lines of each row that has a doc_id and a text."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return common.staged(rows.mapInArrow(_lines, "doc_id long, hashes array<long>, words array<int>"), "lines")
+
+
+def overlaps(table: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """(a, b): each later document b with the earliest holders a of its lines, where enough words are shared."""
-    table = common.staged(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(config), "doc_id long, hashes array<long>, words array<int>"), "lines")
-    rows = table.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("l")).select("doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
+    long = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= config.line_words)
+    rows = table.select("doc_id", F.explode(F.array_distinct(long)).alias("l")).select("doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
     shared = common.staged(rows.groupBy("line").agg(F.min("doc_id").alias("a"), F.count("*").alias("w"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "shared-lines")
     bits, power = common.bitmap(shared, "line", shared.count())
     held = common.in_bitmap(rows, F.col("line"), bits, power, "maybe").where("maybe").drop("maybe")
@@ -204,13 +222,12 @@ def overlaps(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
 
 def blocks(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """(doc_id, block): runs of line hashes to delete from each later document."""
-    pairs = common.staged(overlaps(docs, config), "overlaps")
-    ids = common.staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    texts = common.staged(common.only(docs.where("doc_id is not null and text is not null"), "doc_id", ids), "pair-texts")
+    table = line_table(docs)
+    pairs = common.staged(overlaps(table, config), "overlaps")
     weigh = lambda c: common.staged(pairs.groupBy(c).agg(F.count("*").alias("w")), "weights")
-    some = common.salted_join(pairs, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b", weigh("b"), "a")
-    full = common.salted_join(some, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a", weigh("a"), "b")
-    return full.select("b", "a", "tb", "ta").mapInArrow(_align(config), "doc_id long, block array<long>")
+    some = common.salted_join(pairs, table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a", weigh("a"), "b")
+    full = common.salted_join(some, table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), "words"), "b", weigh("b"), "a")
+    return full.select("b", "hb", "words", "ha").mapInArrow(_align(config), "doc_id long, block array<long>")
 
 
 def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
@@ -227,12 +244,16 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
 
     def run(batches):
         for b in batches:
-            out = []
-            counts = np.diff(column_lines(b.column(1)).rows)
-            for d, t, bs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), counts.tolist(), strict=True):
-                text, _, k, w = cut(t, bs) if t and bs else (t, n, 0, 0)
-                out.append((d, n, k, w, text))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], ["doc_id", "n_lines", "n_dropped", "n_words_dropped", "text"])
+            counts = count_lines(b.column(1))
+            dropped, words, texts, mask = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [], np.zeros(b.num_rows, bool)
+            sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(sizes > 0).tolist():
+                t = b.column(1)[i].as_py()
+                if t:
+                    t, _, dropped[i], words[i] = cut(t, b.column(2)[i].as_py())
+                    texts.append(t)
+                    mask[i] = True
+            left = pc.replace_with_mask(b.column(1), pa.array(mask), pa.array(texts, b.column(1).type)) if texts else b.column(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(dropped), pa.array(words), left], ["doc_id", "n_lines", "n_dropped", "n_words_dropped", "text"])
 
     return rows.mapInArrow(run, RESULT)
