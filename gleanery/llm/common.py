@@ -17,8 +17,8 @@ ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by bytes, as texts may be long; leaves a bound that is set already."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > 1 << 30:
+    """Bounds Arrow batches by bytes, as texts may be long; leaves a bound that was set to less than Spark's own 64 MB."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) >= 64 << 20:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
