@@ -6,7 +6,8 @@ class goes on. Per band key, members meet the least member only (a star: linear,
 Pairs that the set sizes or the sketch rule out are dropped, the rest are confirmed on the full sets of the whole
 texts, and the links are grouped. Buckets whose members are not in one component by then are searched for the
 pairs that cross components, in blocks inside the tasks, which emit only pairs that size and sketch admit; these
-are confirmed in turn. So every pair that shares a band is either confirmed, ruled out, or inside one component.
+are confirmed in turn. Buckets of over ``REFINE`` members are split by their members' other bands first. So every
+pair that shares a band is either confirmed, ruled out, or inside one component.
 
 SuperMinHash: element d has, at level j, the rank j + r_j(d) for slot p_j(d), where p_0(d), p_1(d)... is a
 permutation of the slots (affine over a prime number of slots, keyed by the element); a slot keeps its least rank.
@@ -22,6 +23,7 @@ links of its texts. An empty table gives an empty result. Columns other than doc
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ USED = BANDS * ROWS
 LEAST_EQUAL = 102
 PERCENT = 75
 BLOCK = 2048
+REFINE = 1024
 _FULL = np.uint32(0xFFFFFFFF)
 
 
@@ -180,37 +183,42 @@ def _with_sketches(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_admit, "a long, b long")
 
 
+def _pairs_across(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (part, node, component, n, sketch, side) of different components, one from each side, in bounded pieces."""
+    columns = [np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 5)]
+    sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, USED // 4)
+    ia, ca, na, sa = (x[columns[3] != 1] for x in (*columns[:3], sketch))
+    ib, cb, nb, sb = (x[columns[3] != 0] for x in (*columns[:3], sketch))
+    left, right, held = [], [], 0
+    for i in range(len(ia)):
+        near = np.flatnonzero((cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= PERCENT * np.maximum(nb, na[i])))
+        near = near[admitted(na[i], nb[near], sa[i], sb[near])]
+        left.append(np.minimum(ia[i], ib[near]))
+        right.append(np.maximum(ia[i], ib[near]))
+        held += len(near)
+        if held > 100_000 or i == len(ia) - 1:
+            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            yield both[:, 0], both[:, 1]
+            left, right, held = [], [], 0
+
+
 def _cross(batches):
     """Pairs of different components, inside one block of a bucket or between two, that size and sketch admit."""
-    part: dict[str, list] = {"key": None, "rows": []}
-
-    def pairs(rows):
-        left = [r for r in rows if r[5] != 1]
-        right = [r for r in rows if r[5] != 0]
-        na, nb = np.array([r[3] for r in left]), np.array([r[3] for r in right])
-        ca, cb = np.array([r[2] for r in left]), np.array([r[2] for r in right])
-        ia, ib = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-        sa, sb = (np.frombuffer(b"".join(r[4] for r in side), np.uint8).reshape(-1, USED // 4) for side in (left, right))
-        found = []
-        for i in range(len(left)):
-            near = np.flatnonzero((cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= PERCENT * np.maximum(nb, na[i])))
-            near = near[admitted(na[i], nb[near], sa[i], sb[near])] if len(near) else near
-            found += [(min(ia[i], ib[k]), max(ia[i], ib[k])) for k in near]
-        return found
-
-    def emit(found):
-        found = list(set(found))
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+    key, rows = None, []
 
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if row[0] != part["key"]:
-                if part["rows"]:
-                    yield emit(pairs(part["rows"]))
-                part = {"key": row[0], "rows": []}
-            part["rows"].append(row)  # at most two blocks
-    if part["rows"]:
-        yield emit(pairs(part["rows"]))
+    def flush():
+        for a, b in _pairs_across(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if row[0] != key:
+                if rows:
+                    yield from flush()
+                key, rows = row[0], []
+            rows.append(row)  # at most two blocks
+    if rows:
+        yield from flush()
 
 
 def _links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -228,22 +236,43 @@ def _links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     comp = common.staged(common.components(links), "components")
     known = sigs.select("node", "n", "sketch").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = common.staged(known.join(stars.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "known")
-    rows = stars.select("key", F.col("b").alias("node"), "w").join(known, "node")
-    mixed = common.staged(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("key", "w"), "mixed")
-    if mixed.isEmpty():
+    rows = stars.select("key", F.col("b").alias("node")).join(known.select("node", "component"), "node")
+    open_ = _mixed(rows)
+    if open_.isEmpty():
         return links
-    open_ = common.skew_join(rows.drop("w"), mixed, "key", "w")
-    # a block of a bucket meets itself and every other block; side 2 is "both"
-    blocks = F.ceil(F.col("w") / BLOCK).cast("int")
-    placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    placed = placed.select(F.xxhash64("key", lo, hi).alias("part"), "node", "component", "n", "sketch", side.alias("side"))
+    placed = _blocks(_refined(open_, sigs)).join(known.select("node", "n", "sketch"), "node").select("part", "node", "component", "n", "sketch", "side")
     cross = placed.repartition("part").sortWithinPartitions("part").mapInArrow(_cross, "a long, b long").distinct()
     return links.unionByName(common.staged(confirm(common.staged(cross, "cross"), docs), "links"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, component) of the buckets that hold several components, with the bucket's size w."""
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w")).where("lo <> hi")
+    return common.staged(common.skew_join(rows, common.staged(mixed.select("key", "w"), "mixed"), "key", "w"), "open")
+
+
+def _refined(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+    """open_ with each bucket of over REFINE members split by the members' other bands.
+
+    A pair at the threshold that shares one band shares none of the other 39 with probability 3.6e-7, while members that have
+    only a passage in common part: so a bucket of unlike documents is not compared pair by pair."""
+    big = open_.where(F.col("w") > REFINE)
+    if big.isEmpty():
+        return open_
+    split = big.select("key", "node", "component").join(sigs.select("node", "bands"), "node").select("key", "node", "component", F.explode("bands").alias("band"))
+    split = split.where("band <> key").select(F.xxhash64("key", "band").alias("key"), "node", "component")
+    return open_.where(F.col("w") <= REFINE).unionByName(_mixed(split).select(open_.columns))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(part, node, component, side): a block of a bucket meets itself (side 2) and every other block (sides 0 and 1)."""
+    placed = rows.withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "component", side.alias("side"))
+
+
 def group(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     common.prepare(docs.sparkSession)

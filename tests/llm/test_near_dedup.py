@@ -49,9 +49,10 @@ def brute(rows):
     return sorted(((d, len(s), None if d is None else find(d), d is None or find(d) == d) for (d, *_), s in zip(rows, sets, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "refine"), [(2048, 1024), (4, 1024), (2048, 3), (2, 2)])
+def test_matches_brute_force(spark, monkeypatch, block, refine):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "REFINE", refine)
     rows = corpus() + EDGES
     got = near_dedup.group(spark.createDataFrame(rows, SCHEMA).repartition(4)).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
