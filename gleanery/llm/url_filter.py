@@ -93,7 +93,7 @@ def match(urls: DataFrame, rules: DataFrame, config: UrlConfig = UrlConfig()) ->
     index = filed.select(F.col("m.t").alias("token__"), F.struct("rule_id", "items", "confidence").alias("r")).groupBy("token__").agg(F.collect_list("r").alias("rules__"))
     if n <= config.most_rules:
         index = F.broadcast(index)
-    keyed = urls.withColumn("tokens__", tokens(F.col("url"))).withColumn("row__", F.monotonically_increasing_id())
+    keyed = common.staged(urls.withColumn("tokens__", tokens(F.col("url"))).withColumn("row__", F.monotonically_increasing_id()), "url-rows")
     fits = keyed.select("row__", "tokens__", F.explode("tokens__").alias("token__")).join(index, "token__").select("row__", "tokens__", F.explode("rules__").alias("r")).where(F.size(F.array_except("r.items", "tokens__")) == 0)
     best = fits.groupBy("row__").agg(F.max(F.struct(F.col("r.confidence"), F.col("r.rule_id").alias("rule_id"))).alias("b")).select("row__", F.col("b.rule_id").alias("mined"))
     return keyed.join(best, "row__", "left").drop("row__", "tokens__")
