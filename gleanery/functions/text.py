@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.scores import let
+
 #: What clean_text separates after its first substitution; the last three keep a backslash in compat mode.
 _CONTRACTIONS = ("'s", "'ve", "n't", "'re", "'d", "'ll")
 _PLAIN = (",", "!")
@@ -24,7 +26,7 @@ def clean_text(c: Column, compat: bool = True) -> Column:
     """Letters, digits and ``(),!?'`` and the back-quote stay; contractions and marks are set apart, spaces collapse.
 
     compat keeps a backslash before ``(``, ``)`` and ``?``, as users of the older cleaner expect; without it they stand plain."""
-    x = F.regexp_replace(c, "[^A-Za-z0-9(),!?'`]", " ")
+    x = F.regexp_replace(c, "[^`'!?,()0-9A-Za-z]", " ")
     for s in _CONTRACTIONS:
         x = F.replace(x, F.lit(s), F.lit(" " + s))
     for s in _PLAIN + _GUARDED:
@@ -34,12 +36,12 @@ def clean_text(c: Column, compat: bool = True) -> Column:
 
 def keep_alpha(c: Column) -> Column:
     """Drops all but ASCII letters, space and slash, then trailing spaces."""
-    return F.rtrim(F.regexp_replace(c, "[^A-Za-z /]+", ""))
+    return F.rtrim(F.regexp_replace(c, "[^ /A-Za-z]+", ""))
 
 
 def keep_alphanumeric(c: Column, slash: bool = False) -> Column:
     """Runs of anything but letters, digits, full stop, apostrophe, space (and slash) become one space."""
-    return F.regexp_replace(c, "[^A-Za-z0-9/.' ]+" if slash else "[^A-Za-z0-9.' ]+", " ")
+    return F.regexp_replace(c, "[^ './0-9A-Za-z]+" if slash else "[^ '.0-9A-Za-z]+", " ")
 
 
 def text_md5(c: Column) -> Column:
@@ -76,9 +78,13 @@ def find_phrases(word: Column, phrases: Column) -> Column:
 
 def cyclic_pad(toks: Column, kernel: int = 5, below: int = 6) -> Column:
     """Token lists shorter than ``below`` are repeated up to ``kernel`` tokens; empty lists give null."""
-    need = F.ceil(F.lit(kernel) / F.greatest(F.size(toks), F.lit(1))).cast("int")
-    padded = F.slice(F.flatten(F.array_repeat(toks, F.greatest(need, F.lit(1)))), 1, F.greatest(F.lit(kernel), F.size(toks)))
-    return F.when(F.size(toks) == 0, None).when(F.size(toks) < below, padded).otherwise(toks)
+
+    def pad(t):
+        need = F.ceil(F.lit(kernel) / F.greatest(F.size(t), F.lit(1))).cast("int")
+        padded = F.slice(F.flatten(F.array_repeat(t, F.greatest(need, F.lit(1)))), F.lit(1), F.greatest(F.lit(kernel), F.size(t)))
+        return F.when(F.size(t) == 0, None).when(F.size(t) < below, padded).otherwise(t)
+
+    return let(toks, pad)
 
 
 def first_word(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.scores import let
 from gleanery.functions.text import detokenize, find_phrases, keep_alpha, tokens
 from gleanery.operators.keywords import phrases
 from gleanery.operators.tagging import WORD_TAGS, Tagger, default_tagger
@@ -41,21 +42,30 @@ def aspect_words(toks: Column, tags: Column, labels: Column) -> Column:
     return F.transform(kept, lambda x: keep_alpha(x["w"]))
 
 
+def found_aspects(text: Column, tagger: Tagger = default_tagger, raw: Column | None = None, extract_phrase: bool = True, most: int = 200) -> Column:
+    """struct<sentence, aspect> of a text, as one expression in which each step is computed once, however often it is used
+    or copied by the optimizer."""
+
+    def expanded(words, listed):
+        return F.flatten(F.transform(words, lambda w: let(find_phrases(w, listed), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(w)))))
+
+    def result(toks, tags, labels):
+        words = aspect_words(toks, tags, labels)
+        found = let(F.array_distinct(phrases(text)), lambda listed: expanded(words, listed)) if extract_phrase else words
+        return F.struct(detokenize(toks).alias("sentence"), F.array_sort(F.array_distinct(found)).alias("aspect"))
+
+    def labelled(toks, tags):
+        first = F.transform(toks, lambda x: F.lit(0)) if raw is None else raw
+        return let(triggers(toks, tags), lambda trig: let(relabel(first, tags, trig), lambda labels: result(toks, tags, labels)))
+
+    return let(tokens(text, most), lambda toks: let(tagger(toks), lambda tags: labelled(toks, tags)))
+
+
 def detect(df: DataFrame, text: str = "text", tagger: Tagger = default_tagger, labels: str | None = None, extract_phrase: bool = True, most: int = 200) -> DataFrame:
     """df with ``sentence`` (tokens joined) and ``aspect`` (sorted, distinct).
 
     ``labels``: a column of raw labels per token (0 outside, 1 begin, 2 inside), from a model; without one all are 0 and
     modifiers alone find aspects. Words become the phrases that contain them, where there are any."""
-    rows = df.withColumn("toks__", tokens(F.coalesce(F.col(text), F.lit("")), most))
-    rows = rows.withColumn("tags__", tagger(F.col("toks__")))
-    raw = F.col(labels) if labels else F.transform("toks__", lambda x: F.lit(0))
-    rows = rows.withColumn("trig__", triggers(F.col("toks__"), F.col("tags__")))
-    rows = rows.withColumn("labels__", relabel(raw, F.col("tags__"), F.col("trig__")))
-    rows = rows.withColumn("words__", aspect_words(F.col("toks__"), F.col("tags__"), F.col("labels__")))
-    if extract_phrase:
-        rows = rows.withColumn("phrases__", F.array_distinct(phrases(F.coalesce(F.col(text), F.lit("")))))
-        found = F.flatten(F.transform("words__", lambda w: F.when(F.size(find_phrases(w, F.col("phrases__"))) > 0, find_phrases(w, F.col("phrases__"))).otherwise(F.array(w))))
-    else:
-        found = F.col("words__")
-    out = rows.withColumn("sentence", detokenize(F.col("toks__"))).withColumn("aspect", F.array_sort(F.array_distinct(found)))
-    return out.drop("toks__", "tags__", "trig__", "labels__", "words__", "phrases__")
+    found = found_aspects(F.coalesce(F.col(text), F.lit("")), tagger, F.col(labels) if labels else None, extract_phrase, most)
+    rows = df.withColumn("found__", found)
+    return rows.withColumn("sentence", F.col("found__.sentence")).withColumn("aspect", F.col("found__.aspect")).drop("found__")

@@ -104,20 +104,25 @@ def infer_labels(df: DataFrame, key: str, toks: str, tag_ids: str, general: dict
     return df.select(key, toks, tag_ids).mapInPandas(run, schema)
 
 
-def gate(sentence: np.ndarray, aspect: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Logits of a sentence (length, dim) for an aspect (words, dim): gated convolutions; the aspect is averaged, or,
-    where the bundle has ``a3``, convolved and max-pooled."""
-    if "a3" in w:
-        v = relu(conv1d(aspect, w["a3"], w["a3b"], 1)).max(axis=0)
-    else:
-        v = aspect.mean(axis=0)
+def kernels_of(w: dict[str, np.ndarray]) -> list[int]:
+    return sorted(int(n[1:]) for n in w if n[0] == "x" and n[1:].isdigit())
+
+
+def sentence_maps(sentence: np.ndarray, w: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What a sentence (length, dim) adds whatever the aspect, by kernel: tanh features, and gates before the aspect."""
+    return [(np.tanh(conv1d(sentence, w[f"x{k}"], w[f"x{k}b"])), conv1d(sentence, w[f"y{k}"], w[f"y{k}b"])) for k in kernels_of(w)]
+
+
+def gate_maps(maps: list[tuple[np.ndarray, np.ndarray]], aspect: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Logits for an aspect (words, dim): it is averaged, or, where the bundle has ``a3``, convolved and max-pooled."""
+    v = relu(conv1d(aspect, w["a3"], w["a3b"], 1)).max(axis=0) if "a3" in w else aspect.mean(axis=0)
     v = v @ w["fa"] + w["fab"]
-    pooled = []
-    for k in sorted(int(n[1:]) for n in w if n[0] == "x" and n[1:].isdigit()):
-        x = np.tanh(conv1d(sentence, w[f"x{k}"], w[f"x{k}b"]))
-        y = relu(conv1d(sentence, w[f"y{k}"], w[f"y{k}b"]) + v)
-        pooled.append((x * y).max(axis=0))
-    return np.concatenate(pooled) @ w["fc"] + w["fcb"]
+    return np.concatenate([(x * relu(y + v)).max(axis=0) for x, y in maps]) @ w["fc"] + w["fcb"]
+
+
+def gate(sentence: np.ndarray, aspect: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Logits of a sentence for an aspect: gated convolutions."""
+    return gate_maps(sentence_maps(sentence, w), aspect, w)
 
 
 def random_gate(dim: int = 300, aspect_dim: int = 300, classes: int = 3, maps: int = 100, kernels: tuple[int, ...] = (3, 4, 5), target: bool = False, seed: int = 0) -> dict[str, np.ndarray]:
@@ -131,18 +136,25 @@ def random_gate(dim: int = 300, aspect_dim: int = 300, classes: int = 3, maps: i
 
 
 def score_aspects(rows: DataFrame, toks: str, aspect_toks: str, vectors: dict[str, np.ndarray], weights: dict[str, np.ndarray], classes: tuple[str, ...] = ONTOLOGY) -> DataFrame:
-    """rows with ``score`` (logits in the order negative, neutral, positive) and ``sentiment``. Sentences shorter than the widest kernel give null."""
+    """rows with ``score`` (logits in the order negative, neutral, positive) and ``sentiment``. Sentences shorter than the widest kernel give null.
+
+    A sentence's convolutions are computed once for the aspects that follow each other."""
     shared = rows.sparkSession.sparkContext.broadcast((vectors, weights))
-    order, widest = [classes.index(x) for x in ONTOLOGY], max(int(k[1:]) for k in weights if k[0] == "x" and k[1:].isdigit())
+    order, widest = [classes.index(x) for x in ONTOLOGY], max(kernels_of(weights))
 
     @F.pandas_udf("array<double>")
     def logits(sentence: pd.Series, aspect: pd.Series) -> pd.Series:
         table, w = shared.value
         zero = np.zeros(len(next(iter(table.values()))))
         look = lambda ws: np.array([table.get(x, zero) for x in ws])
-        out = []
+        out, last, maps = [], None, []
         for s, a in zip(sentence, aspect, strict=True):
-            out.append(None if s is None or a is None or len(s) < widest or not len(a) else gate(look(s), look(a), w)[order].tolist())
+            if s is None or a is None or len(s) < widest or not len(a):
+                out.append(None)
+                continue
+            if (now := tuple(s)) != last:
+                last, maps = now, sentence_maps(look(s), w)
+            out.append(gate_maps(maps, look(a), w)[order].tolist())
         return pd.Series(out)
 
     return rows.withColumn("score", logits(F.col(toks), F.col(aspect_toks))).withColumn("sentiment", argmax_label(F.col("score")))

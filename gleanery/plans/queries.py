@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import scores, text
 from gleanery.operators import aspects, embeddings, keywords, neural, relational, sentiment, tagging, topics
+from gleanery.plans import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +34,7 @@ def _text(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
 
 
-# --- SQL fragments -----------------------------------------------------------------------------------------------
+# SQL fragments
 
 _T = "coalesce(text, '')"
 
@@ -61,7 +62,7 @@ def sql_phrases(toks: str) -> str:
     return f"list_filter(list_transform(string_split({joined}, chr(10)), lambda p: trim(p, ' ')), lambda p: p <> '')"
 
 
-_BARE = "rtrim(regexp_replace(t, '[^A-Za-z /]+', '', 'g'), ' ')"
+_BARE = "rtrim(regexp_replace(t, '[^ /A-Za-z]+', '', 'g'), ' ')"
 _SKIP = ", ".join(map(_quote, aspects.SKIPPED_WORDS))
 _WORDTAGS = ", ".join(map(_quote, sorted(tagging.WORD_TAGS)))
 _TRIG = ", ".join(map(_quote, aspects.TRIGGERS))
@@ -75,11 +76,11 @@ _RELABEL = f"""
         WHEN i > 1 AND trig[i - 1] THEN 1 WHEN i > 2 AND trig[i - 2] AND tags[i - 1] IN ('JJ', 'RB') THEN 1 ELSE 0 END) AS labels FROM t2)"""
 
 
-# --- functions ---------------------------------------------------------------------------------------------------
+# Functions
 
 
 def _sql_clean() -> str:
-    x = f"regexp_replace({_T}, '[^A-Za-z0-9(),!?''`]', ' ', 'g')"
+    x = f"regexp_replace({_T}, '[^`''!?,()0-9A-Za-z]', ' ', 'g')"
     for s in text._CONTRACTIONS:
         x = f"replace({x}, {_quote(s)}, {_quote(' ' + s)})"
     for s in text._PLAIN + text._GUARDED:
@@ -92,17 +93,17 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_text(_text()).alias("clean"))
 
 
-@query("keep_alpha", f"SELECT doc_id, rtrim(regexp_replace({_T}, '[^A-Za-z /]+', '', 'g'), ' ') AS kept FROM documents")
+@query("keep_alpha", f"SELECT doc_id, rtrim(regexp_replace({_T}, '[^ /A-Za-z]+', '', 'g'), ' ') AS kept FROM documents")
 def keep_alpha(spark, d):
     return table(spark, d, "documents").select("doc_id", text.keep_alpha(_text()).alias("kept"))
 
 
-@query("keep_alphanumeric", f"SELECT doc_id, regexp_replace({_T}, '[^A-Za-z0-9.'' ]+', ' ', 'g') AS kept FROM documents")
+@query("keep_alphanumeric", f"SELECT doc_id, regexp_replace({_T}, '[^ ''.0-9A-Za-z]+', ' ', 'g') AS kept FROM documents")
 def keep_alphanumeric(spark, d):
     return table(spark, d, "documents").select("doc_id", text.keep_alphanumeric(_text()).alias("kept"))
 
 
-@query("keep_alphanumeric_slash", f"SELECT doc_id, regexp_replace({_T}, '[^A-Za-z0-9/.'' ]+', ' ', 'g') AS kept FROM documents")
+@query("keep_alphanumeric_slash", f"SELECT doc_id, regexp_replace({_T}, '[^ ''./0-9A-Za-z]+', ' ', 'g') AS kept FROM documents")
 def keep_alphanumeric_slash(spark, d):
     return table(spark, d, "documents").select("doc_id", text.keep_alphanumeric(_text(), slash=True).alias("kept"))
 
@@ -147,7 +148,7 @@ def sentiment_names(spark, d):
     return table(spark, d, "labels").select("doc_id", text.sentiment_name(F.col("quality") - F.col("toxic")).alias("name"))
 
 
-# --- key phrases, tags, aspects ----------------------------------------------------------------------------------
+# Key phrases, tags, aspects
 
 
 @query("phrase_candidates", f"SELECT conv_id, turn, array_to_string({sql_phrases(sql_tokens(_T))}, '; ') AS phrases FROM conversations")
@@ -200,7 +201,24 @@ def aspect_terms(spark, d):
     return rows.select("conv_id", "turn", F.md5("sentence").alias("sentence_md5"), F.array_join("aspect", "; ").alias("aspect"))
 
 
-# --- labelled reviews --------------------------------------------------------------------------------------------
+_IDS = "map {" + ", ".join(f"{_quote(t)}: {i}" for t, i in tagging.TAG_IDS.items()) + "}"
+
+
+@query("tag_ids", f"SELECT conv_id, turn, array_to_string(list_transform({sql_tokens(_T)}, lambda t: {_IDS}[{tagging.tag_sql('t')}]), ' ') AS ids FROM conversations")
+def tag_ids(spark, d):
+    ids = tagging.tag_ids(tagging.default_tagger(text.tokens(_text(), None)))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
+
+
+@query("one_hot_tags", f"SELECT conv_id, turn, tag, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform({sql_tokens(_T)}, lambda t: {_IDS}[{tagging.tag_sql('t')}])) AS tag FROM conversations) GROUP BY ALL")
+def one_hot_tags(spark, d):
+    ids = tagging.tag_ids(tagging.default_tagger(text.tokens(_text(), None)))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(ids).alias("id"))
+    flags = rows.select("conv_id", "turn", F.posexplode(scores.one_hot(F.col("id"))).alias("at", "flag")).where("flag = 1")
+    return flags.groupBy("conv_id", "turn", (F.col("at") + 1).alias("tag")).agg(F.count("*").alias("n"))
+
+
+# Labelled reviews
 
 _ITEMS = "list_transform(string_split({0}, chr(10)), lambda l: {{'aspect': string_split(l, ' ')[1], 'sentiment': CASE length(l) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END}})".format(_T)
 _UNROLLED = f"(SELECT doc_id, unnest(items).aspect AS aspect, unnest(items).sentiment AS sentiment, len(list_distinct(list_transform(items, lambda x: x.sentiment))) > 1 AS mixed FROM (SELECT doc_id, {_ITEMS} AS items FROM documents))"
@@ -245,7 +263,43 @@ def train_dev_split(spark, d):
     return relational.train_dev_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.1, seed=None)
 
 
-# --- vocabulary and topics ---------------------------------------------------------------------------------------
+_PAIRS = f"(SELECT doc_id, unnest(list_transform(string_split({_T}, chr(10)), lambda l: {{'left': string_split(l, ', ')[1], 'right': coalesce(string_split(l, ', ')[2], ''), 'of': length(string_split(l, ', ')[1])}})) AS x FROM documents)"
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Stand-ins for target reviews: a line's first two parts between commas, and the first one's length."""
+    part = lambda x, i: F.coalesce(F.get(F.split(x, ", "), F.lit(i)), F.lit(""))
+    items = F.transform(F.split(_text(), "\n"), lambda x: F.struct(part(x, 0).alias("left"), part(x, 1).alias("right"), F.char_length(part(x, 0)).alias("of"), part(x, 0).alias("t"), F.lit("neutral").alias("sentiment")))
+    return table(spark, d, "documents").select("doc_id", F.lit("").alias("sentence"), items.alias("items"))
+
+
+@query("target_unroll", f"SELECT '<beg> ' || array_to_string(list_concat({sql_words('x.left')}, ['<end>']), ' ') AS left_text, '<beg> ' || array_to_string(list_concat({sql_words('x.right')}, ['<end>']), ' ') AS right_text FROM {_PAIRS}")
+def target_unroll(spark, d):
+    rows = relational.target_examples(relational.unroll(_pairs(spark, d), "items"))
+    return rows.select(F.array_join("left_text", " ").alias("left_text"), F.array_join("right_text", " ").alias("right_text"))
+
+
+@query("offset_unroll", f"SELECT CAST(x.of AS BIGINT) AS \"offset\", x.left AS aspect FROM {_PAIRS}")
+def offset_unroll(spark, d):
+    rows = relational.offset_examples(relational.unroll(_pairs(spark, d), "items"))
+    return rows.select(F.col("offset").cast("long").alias("offset"), "aspect")
+
+
+@query("mixed_test", f"SELECT split, count(*) AS n, count(*) FILTER (mixed) AS n_mixed FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, mixed FROM {_UNROLLED}) GROUP BY split")
+def mixed_test(spark, d):
+    rows = _reviews(spark, d)
+    train, test, mixed = relational.train_test(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 <> 0"), "items")
+    parts = train.select(F.lit("train").alias("split"), "mixed").unionByName(test.select(F.lit("test").alias("split"), "mixed"))
+    return parts.groupBy("split").agg(F.count("*").alias("n"), F.count_if("mixed").alias("n_mixed"))
+
+
+@query("entity_attributes", "SELECT l_orderkey, l_linenumber, l_returnflag AS entity, l_linestatus AS attribute FROM lineitem")
+def entity_attributes(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("#", "l_returnflag", "l_linestatus").alias("c"))
+    return rows.select("l_orderkey", "l_linenumber", text.entity_attribute(F.col("c")).alias("x")).select("l_orderkey", "l_linenumber", "x.entity", "x.attribute")
+
+
+# Vocabulary and topics
 
 _DOCWORDS = f"(SELECT doc_id, lang, unnest({sql_words('lower(' + _T + ')')}) AS word FROM documents)"
 
@@ -322,7 +376,7 @@ def prodlda_topics(spark, d):
     return model.top_words_and_topics()
 
 
-# --- scores ------------------------------------------------------------------------------------------------------
+# Scores
 
 _E = "[CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)]"
 _P = "(SELECT vec_id, s, exp(s[1] - m) / z AS neg, exp(s[2] - m) / z AS neu, exp(s[3] - m) / z AS pos FROM (SELECT vec_id, s, list_max(s) AS m, exp(s[1] - list_max(s)) + exp(s[2] - list_max(s)) + exp(s[3] - list_max(s)) AS z FROM (SELECT vec_id, {} AS s FROM embeddings)))".format(_E)
@@ -383,7 +437,7 @@ def overall_score(spark, d):
     return rows.select("doc_id", "s.label", *[F.round(F.get("s.scores", F.lit(i)), 6).alias(n) for i, n in enumerate(("neg", "neu", "pos"))])
 
 
-# --- word vectors ------------------------------------------------------------------------------------------------
+# Word vectors
 
 
 @query("embed_lookup", "SELECT word, round(coalesce((SELECT sum(x) FROM (SELECT unnest(e.embedding)::DOUBLE AS x)), 0), 4) AS total FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS word FROM documents) LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = word")
@@ -414,7 +468,7 @@ def cosine_topk(spark, d):
     return found.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-# --- networks ----------------------------------------------------------------------------------------------------
+# Networks
 
 
 @query("tagger_infer")
@@ -435,6 +489,15 @@ def gate_infer(spark, d):
     return neural.score_aspects(rows, "toks", "aspect", known, neural.random_gate(16, 16, maps=10)).select("conv_id", "turn", "sentiment", F.transform("score", lambda x: F.round(x, 6)).alias("score"))
 
 
+@query("aspect_sentiment")
+def aspect_sentiment(spark, d):
+    words = embeddings.Subwords(16, 1 << 12)
+    known = {w: words.vector(w) for w in keywords.STOP_WORDS}
+    rows = aspects.detect(table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item"), "text"), extract_phrase=False)
+    scorer = scoring.AspectScorer(known, neural.random_gate(16, 16, maps=10))
+    return scorer.score(rows.select("item", "sentence", "aspect")).select("item", "aspect", "sentiment", F.round("compound", 6).alias("compound"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lang, label): the three commonest content words of each language after cleaning, as a label."""
     rows = table(spark, sf_dir, "documents").select("lang", F.explode(text.whitespace_tokens(F.lower(text.clean_text(_text())))).alias("word"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import aspects, embeddings, keywords, neural, relational, sentiment, tagging, topics
+from gleanery.plans import scoring
 
 
 def test_unroll_counts_and_mixed(spark):
@@ -245,3 +246,19 @@ def test_networks(spark, tmp_path):
         got = {r["id"]: r for r in neural.score_aspects(rows, "toks", "aspect", vectors, gate, ("positive", "negative", "neutral")).collect()}
         want = neural.gate(np.array([vectors[c] for c in "abcde"]), np.array([vectors[c] for c in "ab"]), gate)
         assert got[1]["score"] == pytest.approx([want[1], want[2], want[0]]) and got[2]["score"] is None and got[3]["sentiment"] is None
+
+
+def test_aspect_scorer(spark):
+    rng = np.random.default_rng(1)
+    vectors, weights = {w: rng.standard_normal(4) for w in ("the", "food", "was", "good")}, neural.random_gate(4, 4, maps=3)
+    scorer = scoring.AspectScorer(vectors, weights, "topic")
+    df = spark.createDataFrame([(1, "the food was good", ["food", "the food"]), (2, "nothing here", [])], "doc_id long, sentence string, aspect array<string>")
+    assert [r["sentence"] for r in scorer.inputs(df).collect()] == ["the food was good the"] * 2
+    got = scorer.score_sentences(df, "doc_id").collect()
+    assert [r["doc_id"] for r in got] == [1] and got[0]["aspect"] == ["food", "the food"] and all(0 <= c <= 1 for c in got[0]["compound"])
+    want = neural.gate(np.array([vectors[w] for w in "the food was good the".split()]), np.array([vectors["food"]]), weights)
+    assert got[0]["score"][0] == pytest.approx(want.tolist())
+    transfer = spark.createDataFrame([("r", "food", "kw", "neutral")], "Response string, aspect string, keyword string, sentiment_name string")
+    assert scorer.examples(transfer).first()["aspect"] == "food" and scoring.AspectScorer(vectors, weights).examples(transfer).first()["aspect"] == "kw"
+    with pytest.raises(ValueError):
+        scoring.AspectScorer(vectors, weights, "other")
