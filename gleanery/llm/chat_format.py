@@ -98,7 +98,7 @@ def unescape(text: str) -> str:
     return "".join([*out, text[i:]])
 
 
-# --- layouts -----------------------------------------------------------------------------------------------------
+# Layouts
 
 
 def paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -188,7 +188,7 @@ def canonical_json(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-# --- formatting --------------------------------------------------------------------------------------------------
+# Formatting
 
 
 def format_turn(role: Column, text: Column) -> tuple[Column, Column, Column]:
