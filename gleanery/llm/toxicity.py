@@ -111,7 +111,10 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], weights: t
     """Trains on texts; ``weights``: how many labelled rows a row of class 0 and of class 1 stands for."""
     rng = np.random.default_rng(config.seed)
     data, offsets = textkit.buffer_of(texts)
-    f, rows = features(data, offsets, config.buckets)
+    parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], config.buckets) for a, b in textkit.chunks(offsets)]
+    f = np.concatenate([p[0] for p in parts])
+    rows = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    del parts, data, offsets
     n, k, d, total = len(labels), config.filters, config.size, sum(WIDTHS)
     emb = (rng.standard_normal((config.buckets, d)) * 0.1).astype(np.float32)
     conv = (rng.standard_normal((d, total * k)) * 0.3).astype(np.float32)
