@@ -2,8 +2,8 @@
 
 Lines are cut at line ends and at sentence ends (``. ! ?`` before white space), compared with white space normalised.
 Documents that overlap are found through shared line hashes: a line of at least ``line_words`` words in more than
-one document pairs each later document (larger doc_id) with the line's earliest holder. These are the rare lines
-of two documents' own content; a line that many share still makes one pair a document, never all pairs. Pairs whose
+one document pairs each later document (larger doc_id) with the line's earliest holder. There is no cut by rarity: a line
+that many share makes one pair a document, never all pairs, and so needs none. Pairs whose
 shared lines have at least ``block_words`` words are aligned by patience diff (lines unique to both sides
 anchor the alignment, recursively), and aligned runs of at least ``block_words`` words are deleted from the later
 document. The earliest holder of a line always keeps it. Lines stand for themselves by 64-bit hashes throughout.
