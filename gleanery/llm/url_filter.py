@@ -4,7 +4,7 @@ FP-growth mines combinations of URL tokens (host suffixes, path segments with di
 label from labelled URLs. Rules with the label as consequent are pruned by support and confidence, and by any shorter rule
 at least as confident. Matching uses an inverted index: each rule is filed under its rarest token, a URL looks up
 only rules filed under its own tokens and checks that the rest are there. The number of rules has a bound that support
-sets (a token set needs ``support`` of the rows); the index is checked against ``most_rules`` before it goes to
+sets (a token set needs ``support`` of the rows, and ``least_rows``); the index is checked against ``most_rules`` before it goes to
 all tasks, and beyond it rules and URLs meet by a join on the token.
 
 Stated host rules come first: a rule ``host/path`` fits its host and all subdomains where the URL's path starts with
@@ -33,6 +33,7 @@ LABEL = "label=block"
 @dataclass(frozen=True)
 class UrlConfig:
     support: float = 0.002
+    least_rows: int = 25  #: labelled URLs that a rule must hold for, whatever share of the sample they are
     confidence: float = 0.6
     most_rules: int = 100_000
     sample: int = 500_000  #: labelled URLs to learn from, at most about so many
@@ -73,7 +74,10 @@ def mine(labelled: DataFrame, config: UrlConfig = UrlConfig()) -> DataFrame:
         known = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / (1 << 30) < config.sample / n)
     baskets = common.staged(known.select(F.concat(tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-baskets")
     # partitions of the growth hold conditional trees by token, so no token's rows meet in one task
-    model = FPGrowth(itemsCol="items", minSupport=config.support, minConfidence=config.confidence).fit(baskets)
+    support = max(config.support, config.least_rows / max(1, min(n, config.sample)))
+    if support > 1:
+        return spark.createDataFrame([], schema)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=config.confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", LABEL)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = common.staged(rules, "url-rules")
     # a rule is idle if a subset of its items is a rule at least as confident; subsets are found under their first item

@@ -50,7 +50,7 @@ def test_mined_rules_and_matches_equal_brute_force(spark):
         bad = host == "a.ads.biz" and lang == "xx" or rng.random() < 0.05
         rows.append((f"http://{host}/{lang}/{i}{key}", bad))
     df = spark.createDataFrame(rows, "url string, block boolean")
-    config = UrlConfig(support=0.05, confidence=0.6)
+    config = UrlConfig(support=0.05, confidence=0.6, least_rows=1)
     baskets = [(set(r["t"]), b) for r, (_, b) in zip(df.select(url_filter.tokens(df["url"]).alias("t")).collect(), rows, strict=True)]
     assert baskets[0][0] >= {"h:biz", "p:0"} or baskets[0][0] >= {"h:info", "p:0"}
     items, want = sorted(set().union(*[b for b, _ in baskets])), {}
@@ -62,7 +62,10 @@ def test_mined_rules_and_matches_equal_brute_force(spark):
     want = {c: v for c, v in want.items() if not any(s < c and want[s] >= v for s in want)}
     rules = url_filter.mine(df.union(spark.createDataFrame([(None, True), ("http://a/b", None)], "url string, block boolean")), config)
     assert {frozenset(r["items"]): round(r["confidence"], 9) for r in rules.collect()} == {c: round(v, 9) for c, v in want.items()}
-    for c in (config, UrlConfig(support=0.05, confidence=0.6, most_rules=0)):
+    assert url_filter.mine(df, UrlConfig(support=0.05, confidence=0.6, least_rows=301)).count() == 0
+    few = url_filter.mine(df, UrlConfig(support=0.05, confidence=0.6, least_rows=40))
+    assert all(r["support"] * 300 >= 40 for r in few.collect())
+    for c in (config, UrlConfig(support=0.05, confidence=0.6, least_rows=1, most_rules=0)):
         got = url_filter.match(df, rules, c).collect()
         fits = {r["url"]: r["mined"] is not None for r in got}
         assert len(got) == len(rows) and all(fits[u] == any(s <= t for s in want) for (u, _), (t, _) in zip(rows, baskets, strict=True))
