@@ -27,23 +27,27 @@ DAMP = 0.74
 Scorer = Callable[[Column], Column]  #: text to struct<polarity: double, scores: array<double>>
 
 
+def _look(values: dict[str, float], key: Column) -> Column:
+    """The value of a key, else null; a hash of the keys is asked before the map, whose search is linear."""
+    return F.when(key.isin(*values), F.try_element_at(_table(values), key))
+
+
 def _table(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
 def valences(toks: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """Per token: its valence, raised by a booster just before, turned and damped by a negation among the three before."""
-    lex, boost = _table(lexicon), _table(BOOSTERS)
-
     def of(low):
         def one(t, i):
             def scored(v):
-                b = F.coalesce(F.try_element_at(boost, F.coalesce(F.get(low, i - 1), F.lit(""))), F.lit(0.0))
+                b = F.coalesce(let(F.coalesce(F.get(low, i - 1), F.lit("")), lambda w: _look(BOOSTERS, w)), F.lit(0.0))
                 raised = F.when(v > 0, v + b).when(v < 0, v - b).otherwise(0.0)
                 before = F.slice(low, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-                return F.when((v != 0) & F.exists(before, lambda w: w.isin(*NEGATIONS)), raised * -DAMP).otherwise(raised)
+                denied = F.exists(before, lambda w: w.isin(*NEGATIONS))
+                return F.when(v == 0, 0.0).when(denied, raised * -DAMP).otherwise(raised)
 
-            return let(F.coalesce(F.try_element_at(lex, t), F.lit(0.0)), scored)
+            return let(F.coalesce(_look(lexicon, t), F.lit(0.0)), scored)
 
         return F.transform(low, one)
 
@@ -82,8 +86,8 @@ def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
 
 def pattern_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """Mean valence of the known words: polarity p from 0 to 1, scores [1 - p, 0, p]."""
-    lex = _table(lexicon)
-    known = F.filter(F.transform(tokens(F.coalesce(text, F.lit("")), None), lambda t: F.try_element_at(lex, F.lower(t))), lambda x: x.isNotNull())
+    low = F.transform(tokens(F.coalesce(text, F.lit("")), None), lambda t: F.lower(t))
+    known = F.filter(F.transform(low, lambda t: _look(lexicon, t)), lambda x: x.isNotNull())
     mean = let(known, lambda k: F.when(F.size(k) > 0, _sum(k) / F.size(k) / 4).otherwise(0.0))
     return let(normalize(mean), lambda p: F.struct(p.alias("polarity"), F.array(1 - p, F.lit(0.0), p).alias("scores")))
 
