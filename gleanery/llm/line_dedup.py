@@ -6,7 +6,8 @@ one document pairs each later document (larger doc_id) with the line's earliest
 that many share makes one pair a document, never all pairs, and so needs none. Pairs whose
 shared lines have at least ``block_words`` words are aligned by patience diff (lines unique to both sides
 anchor the alignment, recursively), and aligned runs of at least ``block_words`` words are deleted from the later
-document. The earliest holder of a line always keeps it. Lines stand for themselves by 64-bit hashes throughout.
+document. So are the runs of that many words that the alignment leaves, as their lines repeat or their order differs: the
+earlier side's shortest runs are indexed, and the later side's looked up among them. The earliest holder of a line always keeps it. Lines stand for themselves by 64-bit hashes throughout.
 
 Texts are read twice, to hash and to cut, and move only where they are cut; pairs move their line hashes. An earliest
 holder of a third of all documents is spread over salts.
@@ -19,8 +20,9 @@ Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -153,8 +155,27 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(words: list[int], least: int) -> list[tuple[int, int]]:
+    """Shortest runs [from, to) of at least ``least`` words: one from each place that has one, one to each place.
+
+    Those within any run of that many words cover it: what follows the last that starts in it has less, so the one to its end covers that.
+    """
+    out, sums = set(), [0, *accumulate(words)]
+    for i in range(len(words)):
+        j = bisect_left(sums, sums[i] + least, i + 1)
+        if j < len(sums):
+            out.add((i, j))
+        k = bisect_right(sums, sums[i + 1] - least, 0, i + 1) - 1
+        if k >= 0:
+            out.add((k, i + 1))
+    return sorted(out)
+
+
 def common_blocks(a: list, b: list, words: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Runs (place in a, place in b, lines) of aligned lines that have at least ``least`` words."""
+    """Runs (place in a, place in b, lines) that cover every line of a within a common run of at least ``least`` words.
+
+    First the aligned ones; what they leave (lines repeated on a side, passages in another order) is looked up among b's windows.
+    """
     out, run = [], None
     for i, j in [*patience(a, b), (-1, -1)]:
         if run and (i, j) == (run[0] + run[2], run[1] + run[2]):
@@ -163,9 +184,31 @@ def common_blocks(a: list, b: list, words: list[int], least: int) -> list[tuple[
         if run and sum(words[run[0] : run[0] + run[2]]) >= least:
             out.append(run)
         run = (i, j, 1)
+    covered = np.zeros(len(a), bool)
+    for i, _, n in out:
+        covered[i : i + n] = True
+    theirs = set(b)
+    shared = np.array([x in theirs for x in a], bool)
+    if (covered | ~shared).all():
+        return out
+    missing, alien = (np.concatenate([[0], np.cumsum(x)]) for x in (~covered, ~shared))
+    wanted = [(i, j) for i, j in windows(words, least) if missing[j] > missing[i] and alien[j] == alien[i]]
+    if wanted:
+        known = dict(zip(a, words, strict=True))
+        places: dict = {}
+        for lo, hi in _stretches(b, known):
+            for i, j in windows([known[x] for x in b[lo:hi]], least):
+                places.setdefault(tuple(b[lo + i : lo + j]), lo + i)
+        out += [(i, places[t], j - i) for i, j in wanted if (t := tuple(a[i:j])) in places]
     return out
 
 
+def _stretches(x: list, known: dict) -> list[tuple[int, int]]:
+    """Longest ranges of x that hold known lines alone."""
+    edges = np.flatnonzero(np.diff([0, *(v in known for v in x), 0]))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 def _lines(batches):
     for b in batches:
         x = column_lines(b.column(1))

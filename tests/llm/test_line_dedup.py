@@ -103,3 +103,31 @@ def test_line_counts_agree():
     assert line_dedup.count_lines(column).tolist() == want
     lines = line_dedup.column_lines(column)
     assert (lines.rows[1:] - lines.rows[:-1]).tolist() == want
+
+
+def held(a, b, words, least):
+    """Places of a in any run of lines that b holds too and that has enough words: by all runs of all places."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[i : i + n]) >= least:
+                out |= set(range(i, i + n))
+    return out
+
+
+def test_blocks_are_found_without_unique_lines():
+    rng = random.Random(11)
+    size = [rng.randrange(1, 12) for _ in range(40)]
+    passage = [1, 2, 3, 4]
+    for k in range(400):
+        if k == 0:  # twice on one side, never at an end, no line unique on both
+            a, b = [30, *passage, 31, *passage, 32], [33, *passage, 34, *passage, 35]
+        else:
+            a, b = ([rng.randrange(rng.choice([3, 8, 30])) for _ in range(rng.randrange(40))] for _ in range(2))
+        words = [size[x] for x in a]
+        got = line_dedup.common_blocks(a, b, words, 20)
+        assert all(a[i : i + n] == b[j : j + n] and sum(words[i : i + n]) >= 20 for i, j, n in got)
+        assert {p for i, _, n in got for p in range(i, i + n)} == held(a, b, words, 20)
