@@ -1,13 +1,15 @@
 """Line dedup by pairwise alignment (operator 8).
 
 Lines are cut at line ends and at sentence ends (``. ! ?`` before white space), compared with white space normalised.
-Documents that overlap are found through shared line hashes: a line of at least ``line_words`` words in more than
-one document pairs each later document (larger doc_id) with the line's earliest holder. There is no cut by rarity: a line
-that many share makes one pair a document, never all pairs, and so needs none. Pairs whose
-shared lines have at least ``block_words`` words are aligned by patience diff (lines unique to both sides
+Documents that overlap are found through shared runs: of each document's lines, short ones too, the shortest runs of at
+least ``block_words`` words from and to each place are hashed, and a run in more than one document pairs each later document
+(larger doc_id) with the run's earliest holder. Any shared run of that many words is covered by such runs, so none is missed,
+whichever documents hold its parts first. There is no cut by rarity: a run that many share makes one pair a document, never
+all pairs, and so needs none. That is ``WHOLE``, which the query takes; a ``line_words`` looks for less: lines of so many words
+alone propose, with their earliest holders, where these account for block_words. Pairs are aligned by patience diff (lines unique to both sides
 anchor the alignment, recursively), and aligned runs of at least ``block_words`` words are deleted from the later
 document. So are the runs of that many words that the alignment leaves, as their lines repeat or their order differs: the
-earlier side's shortest runs are indexed, and the later side's looked up among them. The earliest holder of a line always keeps it. Lines stand for themselves by 64-bit hashes throughout.
+earlier side's shortest runs are indexed, and the later side's looked up among them. The earliest holder of a run keeps it. Lines stand for themselves by 64-bit hashes throughout.
 
 Texts are read twice, to hash and to cut, and move only where they are cut; pairs move their line hashes. An earliest
 holder of a third of all documents is spread over salts.
@@ -41,10 +43,13 @@ _STOPS[[ord(x) for x in ".!?"]] = True
 
 @dataclass(frozen=True)
 class LineConfig:
-    line_words: int = 5
+    line_words: int | None = 5  #: lines of so many words propose pairs, with their earliest holders alone; None: runs do, and no shared run is missed
     block_words: int = 20
 
 
+WHOLE = LineConfig(line_words=None)
+
+
 @dataclass
 class Lines:
     """Lines of all rows of a column, in order."""
@@ -155,6 +160,31 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def row_windows(words: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``windows`` of all rows of a column as (from, to, row); places count over the column, rows ascend."""
+    sums = np.concatenate([[0], np.cumsum(words)])
+    places, row = np.arange(len(words)), np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    j = np.searchsorted(sums, sums[:-1] + least)
+    k = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    on, back = j <= rows[1:][row], k >= rows[:-1][row]
+    size = len(sums)
+    a, b = np.divmod(np.unique(np.concatenate([places[on] * size + j[on], k[back] * size + places[back] + 1])), size)
+    return a, b, row[a]
+
+
+def row_runs(x: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each of the rows' windows, each once a row, and n+1 offsets of the rows' hashes."""
+    a, b, row = row_windows(x.words, x.rows, least)
+    up, down = textkit._power(len(x.words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x.hashes * up[: len(x.hashes)])])
+    hashes = textkit.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.searchsorted(row[new], np.arange(len(x.rows)))
+
+
 def windows(words: list[int], least: int) -> list[tuple[int, int]]:
     """Shortest runs [from, to) of at least ``least`` words: one from each place that has one, one to each place.
 
@@ -209,11 +239,18 @@ def _stretches(x: list, known: dict) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _lines(batches):
-    for b in batches:
-        x = column_lines(b.column(1))
-        at = pa.array(x.rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(x.words, pa.int32()))], ["doc_id", "hashes", "words"])
+def _lines(config: LineConfig):
+    def run(batches):
+        for b in batches:
+            x = column_lines(b.column(1))
+            at = pa.array(x.rows, pa.int32())
+            columns = [b.column(0), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(x.words, pa.int32()))]
+            if config.line_words is None:
+                runs, at = row_runs(x, config.block_words)
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(runs)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes", "words", "runs"][: len(columns)])
+
+    return run
 
 
 def _align(config: LineConfig):
@@ -246,26 +283,32 @@ def cut(text: str, blocks: list[list[int]]) -> tuple[str, int, int, int]:
     return b"".join(kept).decode(), len(h), int(drop.sum()), int(x.words[drop].sum())
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes, words) of all lines of each row that has a doc_id and a text."""
+def line_table(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
+    """(doc_id, hashes, words) of all lines of each row that has a doc_id and a text; with line_words None also the hashes of its runs."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return common.staged(rows.mapInArrow(_lines, "doc_id long, hashes array<long>, words array<int>"), "lines")
+    more = ", runs array<long>" if config.line_words is None else ""
+    return common.staged(rows.mapInArrow(_lines(config), f"doc_id long, hashes array<long>, words array<int>{more}"), "lines")
 
 
 def overlaps(table: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """(a, b): each later document b with the earliest holders a of its lines, where enough words are shared."""
-    long = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= config.line_words)
-    rows = table.select("doc_id", F.explode(F.array_distinct(long)).alias("l")).select("doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
+    """(a, b): each later document b with the earliest holders a of its runs; or of its lines, where enough words are shared."""
+    if config.line_words is None:
+        rows = table.select("doc_id", F.explode("runs").alias("line"))
+    else:
+        long = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= config.line_words)
+        rows = table.select("doc_id", F.explode(F.array_distinct(long)).alias("l")).select("doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
     shared = common.staged(rows.groupBy("line").agg(F.min("doc_id").alias("a"), F.count("*").alias("w"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "shared-lines")
     bits, power = common.bitmap(shared, "line", shared.count())
     held = common.in_bitmap(rows, F.col("line"), bits, power, "maybe").where("maybe").drop("maybe")
-    pairs = common.skew_join(held, shared, "line", "w").where("doc_id > a")
-    return pairs.groupBy("a", F.col("doc_id").alias("b")).agg(F.sum("words").alias("n")).where(F.col("n") >= config.block_words).select("a", "b")
+    pairs = common.skew_join(held, shared, "line", "w").where("doc_id > a").withColumnRenamed("doc_id", "b")
+    if config.line_words is None:
+        return pairs.select("a", "b").distinct()
+    return pairs.groupBy("a", "b").agg(F.sum("words").alias("n")).where(F.col("n") >= config.block_words).select("a", "b")
 
 
 def blocks(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """(doc_id, block): runs of line hashes to delete from each later document."""
-    table = line_table(docs)
+    table = line_table(docs, config)
     pairs = common.staged(overlaps(table, config), "overlaps")
     weigh = lambda c: common.staged(pairs.groupBy(c).agg(F.count("*").alias("w")), "weights")
     some = common.salted_join(pairs, table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a", weigh("a"), "b")

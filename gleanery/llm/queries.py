@@ -43,7 +43,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), line_dedup.WHOLE)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,3 +131,34 @@ def test_blocks_are_found_without_unique_lines():
         got = line_dedup.common_blocks(a, b, words, 20)
         assert all(a[i : i + n] == b[j : j + n] and sum(words[i : i + n]) >= 20 for i, j, n in got)
         assert {p for i, _, n in got for p in range(i, i + n)} == held(a, b, words, 20)
+
+
+def whole(rows, c):
+    """(doc_id, n_lines, n_dropped, n_words_dropped): every run of enough words that any earlier document holds is dropped."""
+    keys = [[tuple(w) for *_, w in split(t or "")] for _, t, *_ in rows]
+    out = []
+    for (d, *_), a in zip(rows, keys, strict=True):
+        size, drop = [len(k) for k in a], set()
+        for (e, *_), b in zip(rows, keys, strict=True):
+            if d is not None and e is not None and e < d:
+                drop |= held(a, b, size, c.block_words)
+        out.append((d, len(a), len(drop), sum(size[p] for p in drop)))
+    return sorted(out, key=str)
+
+
+def dropped(spark, data):
+    return sorted(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(4), line_dedup.WHOLE).select("doc_id", "n_lines", "n_dropped", "n_words_dropped").collect()), key=str)
+
+
+def test_runs_are_found_whichever_documents_hold_their_lines_first(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choice("qwertzuiop") for _ in range(9)) for _ in range(n)) + "."
+    x, y, z = line(7), line(2), line(12)
+    data = [(12, f"{x}\n{line(9)}"), (76, f"{line(8)}\n{z}"), (552, f"{line(6)}\n{x}\n{y}\n{z}\n{line(6)}"), (2079, f"{line(5)}\n{x}\n{y}\n{z}")]
+    # a run whose end only a later holder has: its shortest run from the start is 300's first
+    p, q, r = line(15), line(15), line(3)
+    data += [(300, f"{p}\n{q}\n{line(4)}"), (301, f"{line(4)}\n{p}\n{q}\n{r}\n{line(4)}"), (302, f"{line(4)}\n{p}\n{q}\n{r}")]
+    data = [(*d, "x", 1) for d in data]
+    got = dropped(spark, data)
+    assert (2079, 4, 3, 21) in got and (302, 4, 3, 33) in got
+    assert got == whole(data, line_dedup.WHOLE)
