@@ -162,3 +162,15 @@ def test_runs_are_found_whichever_documents_hold_their_lines_first(spark):
     got = dropped(spark, data)
     assert (2079, 4, 3, 21) in got and (302, 4, 3, 33) in got
     assert got == whole(data, line_dedup.WHOLE)
+
+
+def test_passages_in_short_lines_go(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("qwertzuiop") for _ in range(8))
+    verse, table, mixed = ([" ".join(word() for _ in range(rng.choice(n))) for _ in range(24)] for n in ([1], [2, 3], [1, 4, 6]))
+    data = [(i, "\n".join([f"{word()} {word()}", *x, word()])) for i, x in enumerate([verse, table, mixed, verse[3:], table[5:20], mixed[2:9], verse[:19], [*verse[:6], *table[:4], *verse[6:]]])]
+    data = [(*d, "x", 1) for d in [*data, (90, "a\nb\n" * 30), (91, "b\na\n" * 30), (92, "a\n" * 19), (93, "a\n" * 19)]]
+    got = {r[0]: r for r in dropped(spark, data)}
+    assert got[3][2] == 21 and got[4][2] == 15 and got[6][2] == got[93][2] == 0 and got[91][2] == 60
+    assert list(got.values()) == whole(data, line_dedup.WHOLE)
+    assert dropped(spark, rows(8)) == whole(rows(8), line_dedup.WHOLE)
