@@ -370,8 +370,7 @@ def perplexity(spark, d):
 
 @query("prodlda_topics")
 def prodlda_topics(spark, d):
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.whitespace_tokens(F.lower(_text())).alias("keywords"))
-    model = topics.TopicModel(rows, config=topics.TopicConfig(n_topics=5, epochs=10), topic_def=_DEFINED)
+    model = topics.TopicModel(_keyworded(spark, d).select("doc_id", "keywords"), config=topics.TopicConfig(n_topics=5, epochs=10), topic_def=_DEFINED)
     model.fit()
     return model.top_words_and_topics()
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import aspects, embeddings, keywords, neural, relational, sentiment, tagging, topics
+from gleanery.plans import queries as plans
 from gleanery.plans import scoring
 
 
@@ -182,6 +183,31 @@ def test_topic_model(spark):
         a.with_config(most_cells=10).fit()
 
 
+def test_topic_gradients_by_blocks_of_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.3, (23, 90)).astype(float)
+    whole, parts = (topics.ProdLDA(90, topics.TopicConfig(n_topics=3, hidden=(5, 6))) for _ in range(2))
+    loss, g = whole.gradients(topics.Bag.of(x))
+    monkeypatch.setattr(topics, "BLOCK_CELLS", 170)
+    again, h = parts.gradients(topics.Bag.of(x))
+    assert again == pytest.approx(loss) and g.keys() == h.keys() == whole.p.keys()
+    assert all(np.allclose(g[k], h[k]) for k in g)
+
+
+def test_topic_model_takes_many_documents_of_many_words(spark):
+    df = spark.range(16_000).select(F.col("id").alias("doc_id"), F.array(*[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(13_000))) for k in range(6)]).alias("keywords"))
+    model = topics.TopicModel(df, config=topics.TopicConfig(n_topics=2, hidden=(4, 4), epochs=1, batch=1000))
+    assert model.fit() and len(model.x) * model.x.width > 200_000_000
+    assert model.top_words_and_topics().count() == 2 and model.perplexity() > 1
+
+
+def test_topic_query_reads_documents(spark, tmp_path):
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + j) % 9}" for j in range(12)), "en") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["prodlda_topics"](spark, str(tmp_path)).collect()
+    assert len(got) == 5 and {w for r in got for w in r["words"]} <= {w for _, t, _ in docs for w in t.split()}
+
+
 def test_embeddings(spark):
     words = spark.createDataFrame([("a",), ("<pad>",), ("zz",)], "word string")
     known = spark.createDataFrame([("a", [1.0, 2.0])], "word string, vec array<float>")
