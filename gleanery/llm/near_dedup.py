@@ -6,8 +6,9 @@ class goes on. Per band key, members meet the least member only (a star: linear,
 Pairs that the set sizes or the sketch rule out are dropped, the rest are confirmed on the full sets of the whole
 texts, and the links are grouped. Buckets whose members are not in one component by then are searched for the
 pairs that cross components, in blocks inside the tasks, which emit only pairs that size and sketch admit; these
-are confirmed in turn. Buckets of over ``REFINE`` members are split by their members' other bands first. So every
-pair that shares a band is either confirmed, ruled out, or inside one component.
+are confirmed in turn. Of buckets of over ``REFINE`` members only pairs that share a second band are compared
+so: in smaller ones every pair that shares a band is either confirmed, ruled out, or inside one component, in those a
+linked pair that shares no other band may be lost (3.6e-7 of those at the threshold, if slots were independent).
 
 SuperMinHash: element d has, at level j, the rank j + r_j(d) for slot p_j(d), where p_0(d), p_1(d)... is a
 permutation of the slots (affine over a prime number of slots, keyed by the element); a slot keeps its least rank.
