@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,9 +20,18 @@ HOT_SHARE = 1 / 1024
 ARROW_BYTES = 4 << 20
 
 
+def size_of(setting: str) -> int:
+    """Bytes of a setting such as 33554432, 64b, 32m, 32mb or 1g."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgtp]?)b?\s*", setting.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit]
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by bytes, as texts may be long; leaves a bound that was set to less than Spark's own 64 MB."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) >= 64 << 20:
+    """Bounds Arrow batches by bytes, as texts may be long; leaves a bound that was set to less than Spark's own 64 MB.
+
+    The setting stays changed: plans read it when they run, which is after the operator that made them has returned.
+    """
+    if not 0 < size_of(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) < 64 << 20:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
@@ -38,8 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: list[list[str]] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; it stays until the enclosing ``scratch`` ends, outside of one as long as the folder."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(at)
+    return at
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +67,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes what was written to the shared folder within, when it ends; for results that have been written elsewhere by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _written.pop())
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a long column that is never null and that no two rows share, and its name.
+
+    doc_id itself where it is such a key, which one pass over the ids finds out; else row numbers in a staged copy.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") and ids.where("n > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    name = fresh(docs, "row__")
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, however its columns are named."""
     names = {c.lower() for c in df.columns}

@@ -237,7 +237,24 @@ def _in_shards(slim: DataFrame, parts: list[DataFrame], window: int) -> DataFram
     return rows.select("row", "doc_id", words.alias("n_words")).join(united, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the contaminated ones; all columns stay."""
-    judged = decontaminate(docs, benchmark, window)
-    return common.without(docs, "doc_id", common.staged(judged.where(F.col("contaminated") & F.col("doc_id").isNotNull()).select("doc_id"), "leaks"))
+def _clean(index):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([not f for f in scan(index.value, texts)[1]], pa.bool_())
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 5_000_000) -> DataFrame:
+    """docs without the contaminated ones; all columns and their order stay.
+
+    One scan a shard, no shuffle: each row goes or stays by its own text, whatever its doc_id. What a shard leaves is written
+    before the next one reads it, so that a task holds one shard's index.
+    """
+    spark = common.prepare(docs.sparkSession)
+    parts = shards_of(benchmark.select("item_id", F.col("text").cast("string").alias("text")), shard_words)
+    for i, part in enumerate(parts):
+        docs = docs.where(_clean(spark.sparkContext.broadcast(build(part.toArrow(), window)))(F.col("text").cast("string")))
+        if i < len(parts) - 1:
+            docs = common.staged(docs, "cleaned")
+    return docs

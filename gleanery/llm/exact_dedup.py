@@ -147,6 +147,18 @@ def _regroup(docs: DataFrame, slim: DataFrame, out: DataFrame, wrong: DataFrame,
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that an equal text with a larger doc_id replaces; all columns stay. Only rows under suspicion are shuffled."""
-    gone = dedup(docs.select("doc_id", "text")).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return common.without(docs, "doc_id", common.staged(gone, "copies"))
+    """docs with one row of each text; all columns stay. Only rows under suspicion are shuffled.
+
+    The row with the largest doc_id stays; where ids repeat or are null, one of the rows with the largest, null being
+    least. So rows go by what their own text says, whatever other rows share their doc_id.
+    """
+    keyed, key = common.with_row_key(docs)
+    if key == "doc_id":
+        gone = dedup(keyed.select("doc_id", "text")).where("not kept").select("doc_id")
+    else:  # grouped by row number; of each group the rows but the one with the largest doc_id go
+        judged = dedup(keyed.select(F.col(key).alias("doc_id"), "text")).where("group_size > 1")
+        named = common.staged(keyed.select(F.col(key).alias("doc_id"), F.struct(F.col("doc_id").cast("long").alias("id"), F.col(key).alias("row")).alias("by")).join(judged.select("doc_id", "keep_id", "group_size"), "doc_id"), "copies")
+        last = named.groupBy("keep_id").agg(F.max("by").alias("last"), F.count("*").alias("w"))
+        gone = common.skew_join(named, common.staged(last, "last-copies"), "keep_id", "w").where("by.row <> last.row").select(F.col("by.row").alias(key))
+    kept = common.without(keyed, key, common.staged(gone, "copies"))
+    return kept if key == "doc_id" else kept.drop(key)

@@ -124,15 +124,29 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) of the rows that aren't held out."""
+    return docs.where(~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+
+
 def predict(docs: DataFrame, config: LangConfig = LangConfig()) -> DataFrame:
     """Learns from the rows that aren't held out (crc32 of doc_id, mod 4, is 2) and predicts for all."""
     common.prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    return identify(rows.select("doc_id", "held_out", "text"), train(rows.where(~F.col("held_out")), config))
+    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("text").cast("string"))
+    return identify(rows, train(training_rows(docs), config))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those of no language (``und``) or of one less likely than ``least``; all columns stay."""
-    judged = predict(docs.select("doc_id", "text", "lang"))
-    gone = judged.where(((F.col("lang_pred") == "und") | (F.col("score") < least)) & F.col("doc_id").isNotNull()).select("doc_id")
-    return common.without(docs, "doc_id", common.staged(gone, "no-language"))
+    """docs without those of no language (``und``) or of one less likely than ``least``; all columns and their order stay.
+
+    One scan, no shuffle: each row goes or stays by its own text, whatever its doc_id.
+    """
+    spark = common.prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(train(training_rows(docs)))
+
+    @F.arrow_udf("boolean")
+    def identified(texts: pa.Array) -> pa.Array:
+        langs, scores = shared.value.score(texts)
+        return pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_())
+
+    return docs.where(identified(F.col("text").cast("string")))

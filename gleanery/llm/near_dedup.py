@@ -296,6 +296,19 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group; all columns stay."""
-    gone = group(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return common.without(docs, "doc_id", common.staged(gone, "near-copies"))
+    """docs with one row of each group of linked texts; all columns stay.
+
+    The row with the least doc_id stays; where ids repeat or are null, rows count alone, each by its own text, and one of the
+    rows with the least doc_id stays, null being largest. Rows without words are linked with nothing and stay.
+    """
+    keyed, key = common.with_row_key(docs)
+    if key == "doc_id":
+        gone = group(keyed.select("doc_id", "text")).where("not kept").select("doc_id")
+    else:
+        grouped = common.staged(group(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id"), "groups")
+        by = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("row")).alias("by")
+        named = common.staged(keyed.select(key, by).join(grouped, key), "groups")
+        first = named.groupBy("component_id").agg(F.min("by").alias("first"), F.count("*").alias("w")).where("w > 1")
+        gone = common.skew_join(named, common.staged(first, "firsts"), "component_id", "w").where("by.row <> first.row").select(key)
+    kept = common.without(keyed, key, common.staged(gone, "near-copies"))
+    return kept if key == "doc_id" else kept.drop(key)

@@ -54,6 +54,8 @@ def test_empty_table_and_kept_columns(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     kept = exact_dedup.drop_copies(docs)
     assert set(kept.columns) == set(docs.columns)
-    want = [r[0] for r, b in zip(sorted(ROWS, key=str), brute(ROWS), strict=True) if b[3] or b[0] is None]
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [b[0] for b in brute(ROWS) if b[3] or b[0] is None]))
-    assert len(want) == kept.count()
+    want = {}
+    for d, t, *_ in ROWS:
+        key = (t or "").translate(LOWER)
+        want[key] = d if key not in want or want[key] is None or d is not None and d > want[key] else want[key]
+    assert sorted((str(r["doc_id"]), (r["text"] or "").translate(LOWER)) for r in kept.collect()) == sorted((str(d), t) for t, d in want.items())
