@@ -50,5 +50,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        at = common.stage_path(spark, f"stage-{name}")
+        with common.scratch(spark):  # what the stage wrote on its way goes once its result is written
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(at)
+        docs = spark.read.schema(kept.schema).parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)
