@@ -6,9 +6,15 @@ class goes on. Per band key, members meet the least member only (a star: linear,
 Pairs that the set sizes or the sketch rule out are dropped, the rest are confirmed on the full sets of the whole
 texts, and the links are grouped. Buckets whose members are not in one component by then are searched for the
 pairs that cross components, in blocks inside the tasks, which emit only pairs that size and sketch admit; these
-are confirmed in turn. Of buckets of over ``REFINE`` members only pairs that share a second band are compared
-so: in smaller ones every pair that shares a band is either confirmed, ruled out, or inside one component, in those a
-linked pair that shares no other band may be lost (3.6e-7 of those at the threshold, if slots were independent).
+are confirmed in turn. So every pair that shares a band is either confirmed, ruled out, or inside one component.
+
+Buckets of over ``REFINE`` members that hold several components (documents with a passage in common, mostly) are not
+compared pair by pair but by an exact prefix filter: shingles are ordered by how often these documents hold them, rare
+first (counted in a table of fixed size, any order being right), and a document of n shingles files itself
+under its first n - ceil(0.75 n) + 1; two linked sets share one of these, while what many share comes last.
+
+Sets of up to ``SMALL`` shingles, where slots depend on each other most, also file themselves under as many of their
+least hashes, the same filter under another order: links among them are all found, and no sketch rules them out.
 
 SuperMinHash: element d has, at level j, the rank j + r_j(d) for slot p_j(d), where p_0(d), p_1(d)... is a
 permutation of the slots (affine over a prime number of slots, keyed by the element); a slot keeps its least rank.
@@ -40,7 +46,9 @@ USED = BANDS * ROWS
 LEAST_EQUAL = 102
 PERCENT = 75
 BLOCK = 2048
-REFINE = 1024
+REFINE = 512
+SMALL = 21
+COUNTERS = 1 << 20
 _FULL = np.uint32(0xFFFFFFFF)
 
 
@@ -87,42 +95,55 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def admitted(n_a, n_b, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs that set sizes and sketches (bytes, last axis) leave possible."""
+    """Pairs that set sizes and sketches (bytes, last axis) leave possible; of small sets the sizes alone decide."""
     d = np.bitwise_xor(x, y)
     unequal = np.bitwise_count((d | (d >> 1)) & np.uint8(0x55)).sum(axis=-1, dtype=np.int64)
-    return (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)) & (USED - unequal >= LEAST_EQUAL)
+    least = np.minimum(n_a, n_b)
+    return (100 * least >= PERCENT * np.maximum(n_a, n_b)) & ((USED - unequal >= LEAST_EQUAL) | (least <= SMALL))
 
 
-def describe(texts: pa.Array) -> tuple[np.ndarray, list[bytes | None], np.ndarray, np.ndarray]:
-    """Set sizes, class digests (None for an empty set), band keys and sketches of whole texts."""
-    n = len(texts)
-    sizes, classes = np.zeros(n, np.int64), [None] * n
-    bands, sketch = np.zeros((n, BANDS), np.int64), np.zeros((n, USED // 4), np.uint8)
+def prefix_length(n):
+    """How many first elements of a set of n, in any order common to all sets, meet those of every linked set."""
+    return n - -(-PERCENT * n // 100) + 1
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Per range of rows of a column: its first and last row, lowered bytes, their offsets, and each row's distinct shingle hashes, ascending."""
     all_data, all_offsets = textkit.buffer_of(texts)
     for lo, hi in textkit.chunks(all_offsets, textkit.CHUNK_BYTES // 2):
         data = textkit.LOWER[all_data[all_offsets[lo] : all_offsets[hi]]]
         offsets = all_offsets[lo : hi + 1] - all_offsets[lo]
         starts, ends, rows = textkit.spans(data, offsets, textkit.WHITE)
         words = textkit.word_hashes(data, starts, ends)
-        sets = []
-        for i in range(hi - lo):
-            w = words[rows[i] : rows[i + 1]]
-            sets.append(np.unique(textkit.shingle_hashes(w, min(2, max(1, len(w))))) if len(w) else w)
-            if len(w):
+        per_row = (words[rows[i] : rows[i + 1]] for i in range(hi - lo))
+        yield lo, hi, data, offsets, [np.unique(textkit.shingle_hashes(w, min(2, max(1, len(w))))) if len(w) else w for w in per_row]
+
+
+def describe(texts: pa.Array) -> tuple[np.ndarray, list[bytes | None], list[np.ndarray], np.ndarray]:
+    """Set sizes, class digests (None for an empty set), keys (bands, and the least hashes of small sets) and sketches of whole texts."""
+    n = len(texts)
+    sizes, classes, keys = np.zeros(n, np.int64), [None] * n, [np.zeros(0, np.int64)] * n
+    sketch = np.zeros((n, USED // 4), np.uint8)
+    for lo, hi, data, offsets, sets in shingle_sets(texts):
+        for i, x in enumerate(sets):
+            if len(x):
                 whole = b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())
                 classes[lo + i] = hashlib.blake2b(whole, digest_size=16).digest()
-        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
         sizes[lo:hi] = np.diff(at)
-        sig = superminhash(np.concatenate(sets) if sets else words, at)
-        bands[lo:hi], sketch[lo:hi] = band_keys(sig), sketches(sig)
-    return sizes, classes, bands, sketch
+        sig = superminhash(np.concatenate(sets), at)
+        bands, sketch[lo:hi] = band_keys(sig), sketches(sig)
+        for i, x in enumerate(sets):
+            if len(x):
+                keys[lo + i] = np.concatenate([bands[i], textkit.mix(x[: prefix_length(len(x))]).view(np.int64)]) if len(x) <= SMALL else bands[i]
+    return sizes, classes, keys, sketch
 
 
 def _describe(batches):
     for b in batches:
-        sizes, classes, bands, sketch = describe(b.column(1))
-        flat = pa.array(bands.ravel(), pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), flat)
+        sizes, classes, keys, sketch = describe(b.column(1))
+        at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(classes, pa.binary()), lists, pa.array([s.tobytes() for s in sketch], pa.binary())], ["doc_id", "n", "class", "bands", "sketch"])
 
 
@@ -241,7 +262,7 @@ def _links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     open_ = _mixed(rows)
     if open_.isEmpty():
         return links
-    placed = _blocks(_refined(open_, sigs)).join(known.select("node", "n", "sketch"), "node").select("part", "node", "component", "n", "sketch", "side")
+    placed = _blocks(_refined(open_, docs)).join(known.select("node", "n", "sketch"), "node").select("part", "node", "component", "n", "sketch", "side")
     cross = placed.repartition("part").sortWithinPartitions("part").mapInArrow(_cross, "a long, b long").distinct()
     return links.unionByName(common.staged(confirm(common.staged(cross, "cross"), docs), "links"))
 
@@ -252,17 +273,42 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return common.staged(common.skew_join(rows, common.staged(mixed.select("key", "w"), "mixed"), "key", "w"), "open")
 
 
-def _refined(open_: DataFrame, sigs: DataFrame) -> DataFrame:
-    """open_ with each bucket of over REFINE members split by the members' other bands.
-
-    A pair at the threshold that shares one band shares none of the other 39 with probability 3.6e-7, while members that have
-    only a passage in common part: so a bucket of unlike documents is not compared pair by pair."""
+def _refined(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """open_ with the members of each bucket of over REFINE filed under their rarest shingles instead: any linked pair of them meets there."""
     big = open_.where(F.col("w") > REFINE)
     if big.isEmpty():
         return open_
-    split = big.select("key", "node", "component").join(sigs.select("node", "bands"), "node").select("key", "node", "component", F.explode("bands").alias("band"))
-    split = split.where("band <> key").select(F.xxhash64("key", "band").alias("key"), "node", "component")
-    return open_.where(F.col("w") <= REFINE).unionByName(_mixed(split).select(open_.columns))
+    nodes = common.staged(big.select("node", "component").distinct(), "crowded")
+    texts = common.staged(common.only(docs, "node", nodes), "crowded-texts")
+    sums = texts.select("text").mapInArrow(_count_shingles, "i int, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[sums.column("i").to_numpy()] = sums.column("c").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def file(batches):
+        for b in batches:
+            nodes, keys = [], []
+            for node, h in zip(b.column(0).to_pylist(), (x for *_, sets in shingle_sets(b.column(1)) for x in sets), strict=True):
+                seen = shared.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                first = np.lexsort((h, seen))[: prefix_length(len(h))]
+                first = first[seen[first] > 1]  # what one text alone holds meets nothing
+                keys.append(h[first].view(np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, nodes)], ["key", "node"])
+
+    filed = texts.select("node", "text").mapInArrow(file, "key long, node long").join(nodes, "node").select("key", "node", "component")
+    return open_.where(F.col("w") <= REFINE).unionByName(_mixed(common.staged(filed, "filed")).select(open_.columns))
+
+
+def _count_shingles(batches):
+    """How often hashes fall on each counter, over a task's texts; a text counts each of its shingles once."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for *_, sets in shingle_sets(b.column(0)):
+            for x in sets:
+                np.add.at(counts, (x & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+    i = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(counts[i])], ["i", "c"])
 
 
 def _blocks(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import collections
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm import near_dedup
@@ -29,23 +32,34 @@ def corpus(seed=1):
 EDGES = [(9001, None, 1, "x"), (9002, "", 1, "x"), (9003, " \n ", 1, "x"), (9004, "solo", 1, "x"), (9005, "SOLO", 1, "x"), (9006, "a b", 1, "x"), (None, "a b", 1, "x"), (9007, "w " * 100_000, 1, "x"), (9008, "w w", 1, "x"), (9010, "one two three", 1, "x"), (9010, "four five six", None, None), (9011, "one two three", 1, "x"), (9012, "FOUR five six", 1, "x")]
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def pairs_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {f"{x} {y}" for x, y in zip(w, w[1:], strict=False)} if len(w) > 1 else set(w)
+
+
 def brute(rows):
-    sets = [near_dedup.word_set(t) for _, t, *_ in rows]
-    parent = {}
+    """All pairs by counting what they share; nothing of the engine is used."""
+    sets = [pairs_of(t) for _, t, *_ in rows]
+    holders, parent = {}, {d: d for d, *_ in rows if d is not None}
 
     def find(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             x = parent[x]
         return x
 
     for i, (a, *_) in enumerate(rows):
-        if a is not None:
-            find(a)
-        for j in range(i):
-            b = rows[j][0]
-            if a is not None and b is not None and near_dedup.linked(sets[i], sets[j]):
-                x, y = find(a), find(b)
+        if a is None:
+            continue
+        both = collections.Counter(j for x in sets[i] for j in holders.get(x, ()))
+        for j, n in both.items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                x, y = find(a), find(rows[j][0])
                 parent[max(x, y)] = min(x, y)
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
     return sorted(((d, len(s), None if d is None else find(d), d is None or find(d) == d) for (d, *_), s in zip(rows, sets, strict=True)), key=str)
 
 
@@ -58,6 +72,34 @@ def test_matches_brute_force(spark, monkeypatch, block, refine):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """2200 documents with a passage in common share bands by the thousand; the linked ones among them are all found."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage, rows = [word() for _ in range(60)], []
+    while len(rows) < 2200:
+        own = [word() for _ in range(34)]
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w = list(own)
+            for _ in range(rng.randrange(8)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join([*passage, *w]), 1, "x"))
+    sizes = collections.Counter(int(k) for r in rows for k in near_dedup.describe(pa.array([r[1]]))[2][0])
+    assert max(sizes.values()) > 1024
+    want = brute(rows)
+    assert 500 < len({r[2] for r in want}) < 2150
+    got = near_dedup.group(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_small_sets_are_linked_exactly(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 22]))), 1, "x") for i in range(900)]
+    rows += [(2000 + 2 * i + j, " ".join(f"w{i}n{k}" for k in range(4 + j)), 1, "x") for i in range(400) for j in range(2)]
+    got = near_dedup.group(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_hot_group_and_kept_columns(spark):
     rows = [(i, "the same few words again and again here", i, "x") for i in range(1500)] + corpus(5)[:20]
     rows = [(10_000 + i if i >= 1500 else r[0], *r[1:]) for i, r in enumerate(rows)]
