@@ -1,7 +1,9 @@
 r"""Chat formatting by schema fingerprints (operator 4).
 
 The nested field paths of a table (or of each JSON record) are hashed; the hash selects a declarative mapping that
-turns the layout into canonical turns (role, text). Turns are rendered as
+turns the layout into canonical turns (role, text), one row a turn. A mapping's fingerprint covers the paths that it names, so
+fields beside them don't matter; of several that fit, the one that names most fields is taken, of equals the first by
+name. Turns are rendered as
 
     <s>[role]\n text </s>\n
 
@@ -12,7 +14,10 @@ leaves no control string. The loss mask covers the texts of assistants.
 Rows of a conversation are streamed in order through one task's reader, which keeps a digest, not the text; the
 order comes from a shuffle by conversation and a sort that spills. ``segments`` has one row per turn.
 
-Defined cases: null text and null role are empty; turns sort by turn (null first), then role and text, so ties and repeated
+Defined cases: a table that no mapping fits is an error, a JSON record that none fits has null turns; an empty list of messages
+is a conversation without turns (null lists likewise) and has no row among rows of turns; messages without a text have an empty one; null
+messages in a list are left out. Where the input has columns
+named like the new ones (``layout``, ``turns``), the new ones get a ``_`` at their end. Null text and null role are empty; turns sort by turn (null first), then role and text, so ties and repeated
 rows give one result; null conv_id is a conversation of its own; an empty table has only conversation -1. Columns other
 than those named are not read.
 """
@@ -22,9 +27,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,10 +117,11 @@ def paths(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def json_paths(x, at: str = "") -> set[str]:
+    """The same of a JSON value; an empty list has the path of its array."""
     if isinstance(x, dict):
         return set().union(*[json_paths(v, f"{at}.{k}" if at else k) for k, v in x.items()])
     if isinstance(x, list):
-        return set().union(*[json_paths(v, at + "[]") for v in x])
+        return set().union(*[json_paths(v, at + "[]") for v in x if v is not None]) or {at + "[]"}
     return {at}
 
 
@@ -122,66 +129,131 @@ def fingerprint(found) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-#: name: (field paths, mapping). A mapping is a list of (role, path), or (array, role field, text field).
-LAYOUTS: dict[str, tuple[tuple[str, ...], tuple]] = {
-    "prompt": (("prompt", "completion"), (("user", "prompt"), ("assistant", "completion"))),
-    "prompt-response": (("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
-    "system-prompt": (("system", "prompt", "response"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    "instruction": (("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
-    "instruction-input": (("instruction", "input", "output"), (("user", "instruction+input"), ("assistant", "output"))),
-    "messages": (("messages[].role", "messages[].content"), ("messages", "role", "content")),
-    "conversations": (("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
-    "question": (("question", "answer"), (("user", "question"), ("assistant", "answer"))),
+@dataclass(frozen=True)
+class Layout:
+    """A mapping: ``fields`` gives a record's turns as (role, path) in order, paths joined by + meaning both texts; ``array``
+    names a list of messages with their role and text fields; ``row`` the turn, role and text columns of a table of turns."""
+
+    fields: tuple[tuple[str, str], ...] = ()
+    array: tuple[str, str, str] | None = None
+    row: tuple[str, str, str] | None = None
+
+    @property
+    def paths(self) -> frozenset[str]:
+        if self.array:
+            name, role, text = self.array
+            return frozenset((f"{name}[].{role}", f"{name}[].{text}"))
+        return frozenset(self.row or [p for _, x in self.fields for p in x.split("+")])
+
+
+LAYOUTS: dict[str, Layout] = {
+    "turn-rows": Layout(row=("turn", "role", "text")),
+    "turn-rows-content": Layout(row=("turn", "role", "content")),
+    "turn-rows-from": Layout(row=("index", "from", "value")),
+    "prompt": Layout((("user", "prompt"), ("assistant", "completion"))),
+    "prompt-response": Layout((("user", "prompt"), ("assistant", "response"))),
+    "system-prompt": Layout((("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    "instruction": Layout((("user", "instruction"), ("assistant", "output"))),
+    "instruction-input": Layout((("user", "instruction+input"), ("assistant", "output"))),
+    "messages": Layout(array=("messages", "role", "content")),
+    "conversations": Layout(array=("conversations", "from", "value")),
+    "question": Layout((("user", "question"), ("assistant", "answer"))),
 }
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-BY_PRINT = {fingerprint(p): name for name, (p, _) in LAYOUTS.items()}
+#: Which paths to hash, and what the hash selects; those of most paths first.
+BY_PRINT: list[tuple[frozenset[str], str, str]] = sorted(((x.paths, fingerprint(x.paths), n) for n, x in LAYOUTS.items()), key=lambda x: (-len(x[0]), x[2]))
 
 
 def layout_of(found) -> str | None:
-    """The layout whose field paths these are."""
-    return BY_PRINT.get(fingerprint(found))
+    """The layout whose fingerprint the paths have, those that it doesn't name left aside; None if none has."""
+    found = set(found)
+    for named, print_, name in BY_PRINT:
+        if fingerprint(found & named) == print_:
+            return name
+    return next((n for n, x in LAYOUTS.items() if x.array and found & {f"{x.array[0]}[]", f"{x.array[0]}[].{x.array[1]}"}), None)
 
 
-def canonical(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``turns`` of a typed table; its schema without ``keep`` selects the mapping. ValueError if none fits."""
-    rest = T.StructType([f for f in df.schema.fields if f.name not in keep])
-    name = layout_of(paths(rest))
+def _role(c: Column) -> Column:
+    """A role's canonical name; null is empty."""
+    named = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    return F.coalesce(named[c], c, F.lit(""))
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _at(c: str) -> Column:
+    return F.col(f"`{c}`")
+
+
+def _joined(path: str) -> Column:
+    parts = path.split("+")
+    return _text(_at(path)) if len(parts) == 1 else F.concat_ws("\n", *[F.nullif(_at(c).cast("string"), F.lit("")) for c in parts])
+
+
+def _layout(df: DataFrame, keep: list[str]) -> Layout:
+    found = paths(T.StructType([f for f in df.schema.fields if f.name not in keep]))
+    name = layout_of(found)
     if name is None:
-        raise ValueError(f"no layout has the fields {sorted(paths(rest))}")
-    rule = LAYOUTS[name][1]
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+        raise ValueError(f"no layout has the fields {sorted(found)}")
+    return LAYOUTS[name]
+
+
+def canonical(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``turns`` of a typed table of records; its schema without ``keep`` selects the mapping."""
+    x = _layout(df, keep)
     turn = lambda role, c: F.struct(role.alias("role"), c.alias("text"))
-    if isinstance(rule[0], str):
-        array, role, body = rule
-        named = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-        turns = F.transform(F.coalesce(F.col(f"`{array}`"), F.array().cast(df.schema[array].dataType)), lambda m: turn(F.coalesce(F.get(F.map_values(F.map_filter(named, lambda k, v: k == m[role])), 0), text(m[role])), text(m[body])))
+    if x.row:
+        raise ValueError("a table of turns has no records; see turn_rows()")
+    if x.array:
+        array, role, text = x.array
+        messages = F.filter(F.coalesce(_at(array), F.array().cast(df.schema[array].dataType)), lambda m: m.isNotNull())
+        turns = F.transform(messages, lambda m: turn(_role(m[role].cast("string")), _text(m[text])))
     else:
-        turns = F.array(*[turn(F.lit(r), F.concat_ws("\n", *[F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")) for c in p.split("+")]) if "+" in p else text(F.col(f"`{p}`"))) for r, p in rule])
-    return df.select(*keep, turns.alias("turns"))
+        turns = F.array(*[turn(F.lit(r), _joined(p)) for r, p in x.fields])
+    return df.select(*map(_at, keep), turns.alias(common.fresh(df.select(*map(_at, keep)), "turns")))
 
 
-def canonical_json(df: DataFrame, column: str) -> DataFrame:
-    """df with ``layout`` and ``turns`` of each JSON record in ``column``; both null where no layout fits or it isn't JSON."""
-    schema = T.StructType([*df.schema.fields, T.StructField("layout", T.StringType()), T.StructField("turns", T._parse_datatype_string(TURNS))])
+def turn_rows(df: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text) of a typed table, whatever its layout: one row a turn. The fingerprint of its schema selects the mapping."""
+    x = _layout(df, [conv])
+    if x.row:
+        turn, role, text = map(_at, x.row)
+        role = _text(role) if x.row[1] == "role" else _role(role.cast("string"))  # roles so named are canonical as they stand
+        return df.select(_at(conv).cast("long").alias("conv_id"), turn.cast("long").alias("turn"), role.alias("role"), _text(text).alias("text"))
+    made = canonical(df, [conv]).select(_at(conv).cast("long").alias("conv_id"), F.posexplode("turns").alias("turn", "t"))
+    return made.select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
-    place, names = df.columns.index(column), schema.names
 
-    def one(raw):
-        try:
-            x = json.loads(raw)
-        except (TypeError, ValueError):
-            return None, None
+def _one(raw: str | None) -> tuple[str | None, list[dict] | None]:
+    """Layout and turns of a JSON record."""
+    try:
+        x = json.loads(raw)
         name = layout_of(json_paths(x)) if isinstance(x, dict) else None
-        if name is None:
-            return None, None
-        rule, s = LAYOUTS[name][1], lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
-        if isinstance(rule[0], str):
-            return name, [{"role": ROLES.get(s(m.get(rule[1])), s(m.get(rule[1]))), "text": s(m.get(rule[2]))} for m in x[rule[0]]]
-        return name, [{"role": r, "text": "\n".join(t for c in p.split("+") if (t := s(x[c])) or "+" not in p)} for r, p in rule]
+    except (TypeError, ValueError, RecursionError):
+        return None, None
+    if name is None:
+        return None, None
+    rule, s = LAYOUTS[name], lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
+    if rule.array:
+        array, role, text = rule.array
+        return name, [{"role": ROLES.get(s(m.get(role)), s(m.get(role))), "text": s(m.get(text))} for m in x[array] if isinstance(m, dict)]
+    if rule.row:  # a record that is a turn itself
+        _, role, text = rule.row
+        return name, [{"role": s(x[role]) if role == "role" else ROLES.get(s(x[role]), s(x[role])), "text": s(x[text])}]
+    return name, [{"role": r, "text": "\n".join(t for c in p.split("+") if (t := s(x[c])) or "+" not in p)} for r, p in rule.fields]
+
+
+def canonical_json(df: DataFrame, column: str) -> DataFrame:
+    """df with ``layout`` and ``turns`` of each JSON record in ``column``; both null where no layout fits or it isn't JSON."""
+    new = [common.fresh(df, "layout"), common.fresh(df, "turns")]
+    schema = T.StructType([*df.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T._parse_datatype_string(TURNS))])
+    place, names = df.columns.index(column), schema.names
 
     def run(batches):
         for b in batches:
-            made = [one(r) for r in b.column(place).to_pylist()]
+            made = [_one(r) for r in b.column(place).to_pylist()]
             turns = pa.array([t for _, t in made], pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for n, _ in made], pa.string()), turns], names)
 
@@ -269,7 +341,7 @@ def formatted(rows: DataFrame) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
-def with_probe(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows and conversation -1, whose texts look like control strings."""
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
+def with_probe(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, turn, role, text) and conversation -1, whose texts look like control strings."""
+    probe = rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return rows.unionByName(probe)

@@ -27,7 +27,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.digest(chat_format.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat_format.digest(chat_format.with_probe(chat_format.turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
