@@ -1,6 +1,9 @@
 import itertools
+import math
 import random
 
+import numpy as np
+
 from gleanery.llm import url_filter
 from gleanery.llm.url_filter import UrlConfig
 
@@ -50,7 +53,7 @@ def test_mined_rules_and_matches_equal_brute_force(spark):
         bad = host == "a.ads.biz" and lang == "xx" or rng.random() < 0.05
         rows.append((f"http://{host}/{lang}/{i}{key}", bad))
     df = spark.createDataFrame(rows, "url string, block boolean")
-    config = UrlConfig(support=0.05, confidence=0.6, least_rows=1)
+    config = UrlConfig(support=0.05, confidence=0.6, chance=1.0)
     baskets = [(set(r["t"]), b) for r, (_, b) in zip(df.select(url_filter.tokens(df["url"]).alias("t")).collect(), rows, strict=True)]
     assert baskets[0][0] >= {"h:biz", "p:0"} or baskets[0][0] >= {"h:info", "p:0"}
     items, want = sorted(set().union(*[b for b, _ in baskets])), {}
@@ -62,10 +65,15 @@ def test_mined_rules_and_matches_equal_brute_force(spark):
     want = {c: v for c, v in want.items() if not any(s < c and want[s] >= v for s in want)}
     rules = url_filter.mine(df.union(spark.createDataFrame([(None, True), ("http://a/b", None)], "url string, block boolean")), config)
     assert {frozenset(r["items"]): round(r["confidence"], 9) for r in rules.collect()} == {c: round(v, 9) for c, v in want.items()}
-    assert url_filter.mine(df, UrlConfig(support=0.05, confidence=0.6, least_rows=301)).count() == 0
-    few = url_filter.mine(df, UrlConfig(support=0.05, confidence=0.6, least_rows=40))
-    assert all(r["support"] * 300 >= 40 for r in few.collect())
-    for c in (config, UrlConfig(support=0.05, confidence=0.6, least_rows=1, most_rules=0)):
+    base = sum(b for _, b in rows) / len(rows)
+    tried = sum(1 for n in range(1, 7) for c in itertools.combinations(items, n) if sum(t.issuperset(c) for t, _ in baskets) >= 0.05 * len(baskets))
+    sure = {frozenset(r["items"]) for r in url_filter.mine(df, UrlConfig(support=0.05, confidence=0.6, chance=1e-6)).collect()}
+    for c in want:
+        have = [b for t, b in baskets if t.issuperset(c)]
+        p = sum(math.comb(len(have), k) * base**k * (1 - base) ** (len(have) - k) for k in range(sum(have), len(have) + 1))
+        assert (c in sure) == (p * tried <= 1e-6)
+    assert sure
+    for c in (config, UrlConfig(support=0.05, confidence=0.6, chance=1.0, most_rules=0)):
         got = url_filter.match(df, rules, c).collect()
         fits = {r["url"]: r["mined"] is not None for r in got}
         assert len(got) == len(rows) and all(fits[u] == any(s <= t for s in want) for (u, _), (t, _) in zip(rows, baskets, strict=True))
@@ -76,3 +84,32 @@ def test_labels_reach_pages_by_their_number(spark):
     labels = spark.createDataFrame([(5, 0, 0), (6, 1, 1), (7, 1, 0), (8, None, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r["url"]: r["block"] for r in url_filter.labelled_pages(pages, labels).collect()}
     assert got == {"http://h/en/5?x=9": True, "http://h/en/6.html#1": True, "http://h/en/7/": False, "http://h/8?/9": True}
+
+
+def test_tails_are_exact():
+    k, n = zip(*[(a, b) for b in (1, 2, 7, 30, 400) for a in range(0, b + 1, max(1, b // 7))], strict=True)
+    got = url_filter.tail(np.array(k), np.array(n), 0.3)
+    for x, a, b in zip(got, k, n, strict=True):
+        assert abs(x - math.log(sum(math.comb(b, i) * 0.3**i * 0.7 ** (b - i) for i in range(a, b + 1)))) < 1e-8
+    assert url_filter.least_hits(0.25, 0.01) == 4 and url_filter.least_hits(0.0, 0.01) == 1
+
+
+def verdicts(spark, bad, seed, n=3000):
+    rng = random.Random(seed)
+    urls = [f"http://{rng.choice(['www.', 'm.', ''])}{rng.choice(['pills', 'news', 'shop', 'bets', 'blog'])}.{rng.choice(['info', 'biz'])}/{rng.choice(['xx', 'yy', 'zz'])}/{i}{rng.choice(['', '?utm=1', '?ref=2'])}" for i in range(n)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(u, bad(u, rng)) for u in urls[: n // 2]], "url string, block boolean")
+    return {r["page_id"]: r for r in url_filter.judge(pages, labels).collect()}, urls
+
+
+def test_planted_rules_decide_verdicts_of_unseen_urls(spark):
+    """pills hosts under /xx/ are bad (9 in 10), all else rarely (1 in 20): the mined rule blocks these and leaves the rest alone."""
+    planted = lambda u: "pills." in u and "/xx/" in u
+    got, urls = verdicts(spark, lambda u, rng: rng.random() < (0.9 if planted(u) else 0.05), 1)
+    assert all((got[i]["verdict"] == "block") == planted(u) and (got[i]["mined"] is not None) == planted(u) for i, u in enumerate(urls))
+
+
+def test_labels_that_urls_dont_explain_give_no_rule(spark):
+    for seed in (2, 3, 4):
+        got, _ = verdicts(spark, lambda u, rng: rng.random() < 0.25, seed, 1000)
+        assert all(r["verdict"] == "allow" and r["mined"] is None for r in got.values())
