@@ -1,8 +1,11 @@
+import collections
 import html
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 
 from gleanery.llm import html_extract as h
 
@@ -45,8 +48,60 @@ def test_region_is_the_maximum_sum():
 
 
 def test_weights_are_learned_from_labelled_pages(spark):
-    df = spark.createDataFrame([(f"u{i}", PAGE.format(body="<h1>x y</h1>" + "<p>some words in here</p>" * 9)) for i in range(20)], "url string, html string")
-    w = h.learn(df)
-    assert w["word"] > 0 and all(w[t] < 0 for t in h.TAGS) and w["p"] > w["a"] and w["p"] > w["ul"]
-    assert h.learn(df.limit(0)) == h._DEFAULT
+    page = PAGE.replace('<div class="sidebar">s</div>', '<div class="zork">odd words</div>')
+    df = spark.createDataFrame([(f"u{i}", page.format(body="<h1>x y</h1>" + "<p>some words in here</p>" * 9)) for i in range(20)], "url string, html string")
+    w, learned = h.learn(df)
+    assert w["word"] > 0 and all(w[t] < 0 for t in (*h.TAGS, "outside", "inside", "dropped")) and w["p"] > w["a"] and w["p"] > w["ul"]
+    assert "zork" in learned and not learned & {"article", "content"}
+    assert h.learn(df.limit(0)) == (h._DEFAULT, frozenset())
     assert re.match("^[a-z0-9]+$", "".join(h.TAGS))
+    bare = "<div><h1>Title here</h1><p>Words of it.</p><div class=zork>odd words</div><p>The end.</p></div>"
+    assert h.extract(bare, h._DEFAULT, learned) == "Title here Words of it. The end."
+
+
+KEPT = [
+    ("<form id=aspnetForm><div><article><h1>Head</h1><p>All of it.</p></article></div></form>", "Head All of it."),
+    ("<form><h1>Head</h1><p>All of this text is the page's own.</p><p>And this.</p></form>", "Head All of this text is the page's own. And this."),
+    ('<article><pre><code>x = 1 <span class="hljs-comment">// one</span> <span class="comment"># two</span></code></pre><p>end</p></article>', "x = 1 // one # two end"),
+    ('<article><h2 id="search-results">Results</h2><p>a</p><h2 id="comments">On comments</h2><p class="notice-of-loss">A notice.</p><h3 class="section-header">Part</h3></article>', "Results a On comments A notice. Part"),
+    ('<body class="no-sidebar"><div id="page" class="has-sidebar comments-open"><article><p>a b</p></article></div></body>', "a b"),
+    ('<div class="page-header-fixed with-sidebar"><h1>Head</h1><p>One.</p><p>Two.</p><p>Three.</p></div>', "Head One. Two. Three."),
+    ('<article><p>one</p><ul><li><a href=x>two</a></li><li><a href=y>three</a></li></ul></article>', "one two three"),
+    ('<article><p>one <span class="small nav-text-x">two</span></p></article>', "one two"),
+]
+GONE = [
+    ('<article><p>one</p><div class="ad-slot-3">no</div><div class="acme-sidebar">no</div><section id="reader-comments"><article><p>no</p></article></section><div role="complementary">no</div><p>two</p></article>', "one two"),
+    ('<nav>n</nav><div>top words here</div><article><p>one two three</p></article><div>under it</div>', "one two three"),
+    ('<article><p>first</p><aside>' + "no " * 900 + '</aside><form>no</form><p>last</p></article>', "first last"),
+    ('<article><p>text</p><p class="ad">no</p><span class="advert">no</span><h3 class="comments">no</h3><div id="cookie-notice">no</div><div class="newsletter-signup">no</div></article>', "text"),
+    ('<div><h1>Head</h1><p>Body of the page, some words.</p></div><div class="comments"><p>no</p><p>no</p><p>no</p><p>' + "no " * 90 + "</p></div>", "Head Body of the page, some words."),
+]
+
+
+def test_names_drop_parts_but_not_text():
+    for page, want in [*KEPT, *GONE]:
+        assert h.extract(page, h._DEFAULT) == want, page
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_learned_weights_find_the_article_where_no_name_tells(spark):
+    """Held-out pages with every name taken away (nav, article, footer, classes become bare div): the scan alone draws the border."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights, learned = h.learn(pages.where("page_id % 2 = 0").select("url", "html"))
+    flat = dict.fromkeys(h._DEFAULT, -0.001) | {"word": 1.0}
+    score = {"learned": [0, 0], "flat": [0, 0]}
+    total = 0
+    for r in pages.where("page_id % 2 = 1").collect():
+        truth = collections.Counter(h.extract(r["html"], weights, learned).split())
+        total += sum(truth.values())
+        bare = re.sub(r"<(/?)(?:nav|article|footer)\b", r"<\1div", re.sub(r' class="[^"]*"', "", r["html"]))
+        for name, w in (("learned", weights), ("flat", flat)):
+            got = collections.Counter(h.extract(bare, w).split())
+            score[name][0] += sum((got & truth).values())
+            score[name][1] += sum(got.values())
+    (hit, size), (flat_hit, flat_size) = score["learned"], score["flat"]
+    assert hit / size > 0.995 and hit / total > 0.995, (hit / size, hit / total)
+    assert flat_hit / flat_size < 0.97, flat_hit / flat_size
