@@ -5,14 +5,16 @@ Documents that overlap are found through shared runs: of each document's lines,
 least ``block_words`` words from and to each place are hashed, and a run in more than one document pairs each later document
 (larger doc_id) with the run's earliest holder. Any shared run of that many words is covered by such runs, so none is missed,
 whichever documents hold its parts first. There is no cut by rarity: a run that many share makes one pair a document, never
-all pairs, and so needs none. That is ``WHOLE``, which the query takes; a ``line_words`` looks for less: lines of so many words
-alone propose, with their earliest holders, where these account for block_words. Pairs are aligned by patience diff (lines unique to both sides
-anchor the alignment, recursively), and aligned runs of at least ``block_words`` words are deleted from the later
-document. So are the runs of that many words that the alignment leaves, as their lines repeat or their order differs: the
-earlier side's shortest runs are indexed, and the later side's looked up among them. The earliest holder of a run keeps it. Lines stand for themselves by 64-bit hashes throughout.
+all pairs, and so needs none. Pairs are aligned by patience diff (lines unique to both sides anchor the alignment,
+recursively), and aligned runs of at least ``block_words`` words are deleted from the later document, at every place where it
+holds them. So are the runs of that many words that the alignment leaves, as their lines repeat or their order differs: the
+earlier side's shortest runs are indexed, and the later side's looked up among them. The earliest holder of a run keeps it.
 
-Texts are read twice, to hash and to cut, and move only where they are cut; pairs move their line hashes. An earliest
-holder of a third of all documents is spread over salts.
+Lines stand for themselves by 64-bit hashes until they are cut. Then the words of each run are compared by the SHA-256 of both
+documents' own bytes, so that nothing is deleted because hashes collide.
+
+Texts are read to hash, to prove (earliest holders only) and to cut, and move only where they prove or are cut; pairs move their
+line hashes. An earliest holder of a third of all documents is spread over salts.
 
 Defined cases: null text counts as empty and stays as it is (null in, null out); text without lines is left alone; a null
 doc_id is neither earlier nor later, its row is left alone; rows that share a doc_id are not paired with each other, and
@@ -22,6 +24,7 @@ Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
@@ -43,13 +46,9 @@ _STOPS[[ord(x) for x in ".!?"]] = True
 
 @dataclass(frozen=True)
 class LineConfig:
-    line_words: int | None = 5  #: lines of so many words propose pairs, with their earliest holders alone; None: runs do, and no shared run is missed
     block_words: int = 20
 
 
-WHOLE = LineConfig(line_words=None)
-
-
 @dataclass
 class Lines:
     """Lines of all rows of a column, in order."""
@@ -244,11 +243,9 @@ def _lines(config: LineConfig):
         for b in batches:
             x = column_lines(b.column(1))
             at = pa.array(x.rows, pa.int32())
-            columns = [b.column(0), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(x.words, pa.int32()))]
-            if config.line_words is None:
-                runs, at = row_runs(x, config.block_words)
-                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(runs)))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes", "words", "runs"][: len(columns)])
+            runs, ends = row_runs(x, config.block_words)
+            columns = [b.column(0), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(x.words, pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(runs))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes", "words", "runs"])
 
     return run
 
@@ -256,75 +253,101 @@ def _lines(config: LineConfig):
 def _align(config: LineConfig):
     def run(batches):
         for b in batches:
-            ids, later, words, earlier = (b.column(i).to_pylist() for i in range(4))
-            found = [(d, x[i : i + n]) for d, x, w, y in zip(ids, later, words, earlier, strict=True) for i, _, n in common_blocks(x, y, w, config.block_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], ["doc_id", "block"])
+            ids, later, words, earlier, holders = (b.column(i).to_pylist() for i in range(5))
+            found = [(d, a, j, x[i : i + n]) for d, x, w, y, a in zip(ids, later, words, earlier, holders, strict=True) for i, j, n in common_blocks(x, y, w, config.block_words)]
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "at", "block"])
 
     return run
 
 
-def cut(text: str, blocks: list[list[int]]) -> tuple[str, int, int, int]:
-    """The text without the lines of its blocks (runs of line hashes); its lines, dropped lines and dropped words."""
+def run_digest(raw: bytes, x: Lines, at: int, n: int) -> bytes:
+    """SHA-256 of n lines of a text from line ``at``, white space normalised."""
+    h = hashlib.sha256()
+    for i in range(at, at + n):
+        h.update(b" ".join(raw[x.begin[i] : x.end[i]].split()) + b"\n")
+    return h.digest()
+
+
+def _prove(batches):
+    """Digests of the asked runs (at, n) of each earlier document, by its own bytes."""
+    for b in batches:
+        keys, proofs = [], []
+        for a, text, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            x, raw = column_lines(pa.array([text], pa.string())), text.encode()
+            for s in asked:
+                if s["at"] + s["n"] <= len(x.hashes):
+                    keys.append(f"{a}:{s['at']}:{s['n']}")
+                    proofs.append(run_digest(raw, x, s["at"], s["n"]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(proofs, pa.binary())], ["run", "proof"])
+
+
+def cut(text: str, blocks: list[dict]) -> tuple[str, int, int]:
+    """The text without the lines of its blocks (runs of line hashes, and a digest of their words); its dropped lines and words."""
     x = column_lines(pa.array([text], pa.string()))
-    h = x.hashes.view(np.int64).tolist()
+    h, raw = x.hashes.view(np.int64).tolist(), text.encode()
     drop = np.zeros(len(h), bool)
     places: dict[int, list[int]] = {}
     for i, v in enumerate(h):
         places.setdefault(v, []).append(i)
+    known: dict[tuple[int, int], bytes] = {}
     for block in blocks:
-        for i in places.get(block[0], ()):
-            if h[i : i + len(block)] == block:
-                drop[i : i + len(block)] = True
-    raw, kept, at = text.encode(), [], 0
+        run, n = block["block"], len(block["block"])
+        for i in places.get(run[0], ()):
+            if h[i : i + n] == run:
+                if (i, n) not in known:
+                    known[i, n] = run_digest(raw, x, i, n)
+                if known[i, n] == block["proof"]:
+                    drop[i : i + n] = True
+    kept, at = [], 0
     for i in np.flatnonzero(drop):
         kept.append(raw[at : x.begin[i]])
         at = x.begin[i + 1] if i + 1 < len(h) else len(raw)
     kept.append(raw[at:])
-    return b"".join(kept).decode(), len(h), int(drop.sum()), int(x.words[drop].sum())
+    return b"".join(kept).decode(), int(drop.sum()), int(x.words[drop].sum())
 
 
 def line_table(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """(doc_id, hashes, words) of all lines of each row that has a doc_id and a text; with line_words None also the hashes of its runs."""
+    """(doc_id, hashes, words, runs) of each row that has a doc_id and a text: of its lines, and the hashes of its shortest runs."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    more = ", runs array<long>" if config.line_words is None else ""
-    return common.staged(rows.mapInArrow(_lines(config), f"doc_id long, hashes array<long>, words array<int>{more}"), "lines")
-
-
-def overlaps(table: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """(a, b): each later document b with the earliest holders a of its runs; or of its lines, where enough words are shared."""
-    if config.line_words is None:
-        rows = table.select("doc_id", F.explode("runs").alias("line"))
-    else:
-        long = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= config.line_words)
-        rows = table.select("doc_id", F.explode(F.array_distinct(long)).alias("l")).select("doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
-    shared = common.staged(rows.groupBy("line").agg(F.min("doc_id").alias("a"), F.count("*").alias("w"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "shared-lines")
-    bits, power = common.bitmap(shared, "line", shared.count())
-    held = common.in_bitmap(rows, F.col("line"), bits, power, "maybe").where("maybe").drop("maybe")
-    pairs = common.skew_join(held, shared, "line", "w").where("doc_id > a").withColumnRenamed("doc_id", "b")
-    if config.line_words is None:
-        return pairs.select("a", "b").distinct()
-    return pairs.groupBy("a", "b").agg(F.sum("words").alias("n")).where(F.col("n") >= config.block_words).select("a", "b")
+    return common.staged(rows.mapInArrow(_lines(config), "doc_id long, hashes array<long>, words array<int>, runs array<long>"), "lines")
+
+
+def overlaps(table: DataFrame) -> DataFrame:
+    """(a, b): each later document b with the earliest holders a of its runs."""
+    rows = table.select("doc_id", F.explode("runs").alias("run"))
+    shared = common.staged(rows.groupBy("run").agg(F.min("doc_id").alias("a"), F.count("*").alias("w"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "shared-runs")
+    bits, power = common.bitmap(shared, "run", shared.count())
+    held = common.in_bitmap(rows, F.col("run"), bits, power, "maybe").where("maybe").drop("maybe")
+    return common.skew_join(held, shared, "run", "w").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def blocks(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """(doc_id, block): runs of line hashes to delete from each later document."""
+    """(doc_id, block, proof): runs of line hashes to delete from each later document, and the digest of their words in the earlier one."""
     table = line_table(docs, config)
-    pairs = common.staged(overlaps(table, config), "overlaps")
+    pairs = common.staged(overlaps(table), "overlaps")
     weigh = lambda c: common.staged(pairs.groupBy(c).agg(F.count("*").alias("w")), "weights")
     some = common.salted_join(pairs, table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a", weigh("a"), "b")
     full = common.salted_join(some, table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), "words"), "b", weigh("b"), "a")
-    return full.select("b", "hb", "words", "ha").mapInArrow(_align(config), "doc_id long, block array<long>")
+    found = common.staged(full.select("b", "hb", "words", "ha", "a").mapInArrow(_align(config), "doc_id long, a long, at int, block array<long>"), "found")
+    asked = found.select("a", "at", F.size("block").alias("n")).distinct().groupBy("a").agg(F.collect_list(F.struct("at", "n")).alias("asked"))  # runs of one document's lines
+    asked = common.staged(asked.withColumnRenamed("a", "doc_id"), "asked")
+    texts = common.only(docs.where("text is not null"), "doc_id", asked).join(asked.hint("merge"), "doc_id")
+    proofs = common.staged(texts.select("doc_id", "text", "asked").mapInArrow(_prove, "run string, proof binary").distinct(), "proofs")
+    named = found.select("doc_id", "block", F.concat_ws(":", "a", "at", F.size("block")).alias("run"))
+    counts = named.groupBy("run").agg(F.count("*").alias("w"))
+    return common.skew_join(named, common.staged(proofs.join(counts, "run"), "weighted-proofs"), "run", "w").select("doc_id", "block", "proof")
 
 
 def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_dropped, n_words_dropped, text (what is left)."""
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = blocks(docs, config).groupBy("doc_id").agg(F.collect_set("block").alias("blocks"))  # as many as the document has lines, at most, a partner
+    found = blocks(docs, config).groupBy("doc_id").agg(F.collect_set(F.struct("block", "proof")).alias("blocks"))  # as many as the document has lines, at most, a partner
     found = common.staged(found, "blocks")
     bits, power = common.bitmap(found, "doc_id", found.count())
     marked = common.in_bitmap(docs, F.col("doc_id"), bits, power, "maybe")
-    empty = F.array().cast("array<array<long>>")
+    empty = F.array().cast(found.schema["blocks"].dataType)
     cutting = marked.where("maybe").drop("maybe").join(found.hint("merge"), "doc_id", "left")
     rows = marked.where("not maybe").select("doc_id", "text", empty.alias("blocks")).unionByName(cutting.select("doc_id", "text", F.coalesce("blocks", empty).alias("blocks")))
 
@@ -336,7 +359,7 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
             for i in np.flatnonzero(sizes > 0).tolist():
                 t = b.column(1)[i].as_py()
                 if t:
-                    t, _, dropped[i], words[i] = cut(t, b.column(2)[i].as_py())
+                    t, dropped[i], words[i] = cut(t, b.column(2)[i].as_py())
                     texts.append(t)
                     mask[i] = True
             left = pc.replace_with_mask(b.column(1), pa.array(mask), pa.array(texts, b.column(1).type)) if texts else b.column(1)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -23,35 +24,6 @@ def split(t):
     return out
 
 
-def brute(rows, c):
-    first, lines = {}, {i: split(t or "") for i, (_, t, *_) in enumerate(rows)}
-    for i, (d, *_) in enumerate(rows):
-        for *_, w in lines[i]:
-            if d is not None and len(w) >= c.line_words:
-                first[tuple(w)] = min(d, first.get(tuple(w), d))
-    out = []
-    for i, (d, t, *_) in enumerate(rows):
-        mine = lines[i]
-        keys = [tuple(w) for *_, w in mine]
-        drop, partners = set(), {}
-        for k in {k for k in keys if len(k) >= c.line_words}:
-            if d is not None and first[k] < d:
-                partners[first[k]] = partners.get(first[k], 0) + len(k)
-        for a, n in partners.items():
-            if n < c.block_words:
-                continue
-            for j, (e, *_) in enumerate(rows):
-                if e == a:
-                    for x, _, m in line_dedup.common_blocks(keys, [tuple(w) for *_, w in lines[j]], [len(k) for k in keys], c.block_words):
-                        drop |= {p for p in range(len(keys)) if keys[p : p + m] == keys[x : x + m] for p in range(p, p + m)}
-        kept, at = "", 0
-        for p in sorted(drop):
-            kept += t[at : mine[p][0]]
-            at = mine[p + 1][0] if p + 1 < len(mine) else len(t)
-        out.append((d, len(mine), len(drop), sum(len(keys[p]) for p in drop), None if t is None else kept + t[at:]))
-    return sorted(out, key=str)
-
-
 def rows(seed=3):
     rng = random.Random(seed)
     sentence = lambda: " ".join(rng.choice("abcdefghijk") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 14))) + rng.choice([".", "!", "", "?"])
@@ -66,14 +38,39 @@ def rows(seed=3):
     return out + [(500, None, "x", 1), (501, "", None, 1), (None, out[0][1], "x", 1), (502, "word " * 50_000, "x", 1), (503, "word " * 50_000, "x", 1), (504, out[1][1], "x", 1), (504, out[1][1], "x", 1), (505, " \n\n ", "x", 1)]
 
 
-@pytest.mark.parametrize("c", [LineConfig(), LineConfig(3, 8)])
+@pytest.mark.parametrize("c", [LineConfig(), LineConfig(8)])
 def test_matches_brute_force(spark, c):
     data = rows()
     got = line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(4), c)
-    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "n_words_dropped", "text").collect()), key=str) == brute(data, c)
+    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "n_words_dropped", "text").collect()), key=str) == whole(data, c, True)
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_identical_documents_go_whatever_their_lines(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join("".join(rng.choice("qwertzuiop") for _ in range(9)) for _ in range(n))
+    short = "\n".join(line(4) for _ in range(40))
+    odd, even = [line(7) for _ in range(5)], [line(7) for _ in range(5)]
+    both = "\n".join(x for p in zip(odd, even, strict=True) for x in p)
+    data = [(1, short), (2, short), (11, "\n".join(f"{x}\n{line(9)}" for x in odd)), (12, "\n".join(f"{line(9)}\n{x}" for x in even)), (13, both), (14, both)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([(*d, "x", 1) for d in data], SCHEMA)).collect()}
+    assert (got[2]["n_dropped"], got[2]["text"]) == (40, "") and (got[14]["n_dropped"], got[14]["text"]) == (10, "")
+    assert all(got[d]["n_dropped"] == 0 for d in (1, 11, 12, 13))
+
+
+def test_colliding_hashes_delete_nothing():
+    """A run whose hashes agree but whose words don't stays."""
+    text = "alpha beta gamma delta epsil zeta theta kappa lambd omicr " * 2 + "end."
+    twin = text.replace("alpha", "ALPHA")
+    x, y = (line_dedup.column_lines(pa.array([t])) for t in (text, twin))
+    block = x.hashes.view(np.int64).tolist()
+    proof = line_dedup.run_digest(text.encode(), x, 0, 1)
+    assert line_dedup.cut(text, [{"block": block, "proof": proof}]) == ("", 1, 21)
+    forged = y.hashes.view(np.int64).tolist()
+    assert line_dedup.cut(twin, [{"block": forged, "proof": proof}]) == (twin, 0, 0)
+    assert line_dedup.run_digest(b" alpha \n beta  x.", line_dedup.column_lines(pa.array([" alpha \n beta  x."])), 1, 1) == line_dedup.run_digest(b"beta x.", line_dedup.column_lines(pa.array(["beta x."])), 0, 1)
+
+
 def test_shared_passages_go_and_clean_documents_stay(spark):
     rng = random.Random(1)
     line = lambda: " ".join("".join(rng.choice("qwertzuiop") for _ in range(7)) for _ in range(9)) + "."
@@ -133,21 +130,26 @@ def test_blocks_are_found_without_unique_lines():
         assert {p for i, _, n in got for p in range(i, i + n)} == held(a, b, words, 20)
 
 
-def whole(rows, c):
-    """(doc_id, n_lines, n_dropped, n_words_dropped): every run of enough words that any earlier document holds is dropped."""
-    keys = [[tuple(w) for *_, w in split(t or "")] for _, t, *_ in rows]
+def whole(rows, c, texts=False):
+    """(doc_id, n_lines, n_dropped, n_words_dropped, and the text that is left): every run of enough words that any earlier document holds is dropped."""
+    lines = [split(t or "") for _, t, *_ in rows]
+    keys = [[tuple(w) for *_, w in x] for x in lines]
     out = []
-    for (d, *_), a in zip(rows, keys, strict=True):
+    for (d, t, *_), mine, a in zip(rows, lines, keys, strict=True):
         size, drop = [len(k) for k in a], set()
         for (e, *_), b in zip(rows, keys, strict=True):
             if d is not None and e is not None and e < d:
                 drop |= held(a, b, size, c.block_words)
-        out.append((d, len(a), len(drop), sum(size[p] for p in drop)))
+        kept, at = "", 0
+        for p in sorted(drop):
+            kept += t[at : mine[p][0]]
+            at = mine[p + 1][0] if p + 1 < len(mine) else len(t)
+        out.append((d, len(a), len(drop), sum(size[p] for p in drop), *([None if t is None else kept + t[at:]] if texts else [])))
     return sorted(out, key=str)
 
 
 def dropped(spark, data):
-    return sorted(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(4), line_dedup.WHOLE).select("doc_id", "n_lines", "n_dropped", "n_words_dropped").collect()), key=str)
+    return sorted(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(4)).select("doc_id", "n_lines", "n_dropped", "n_words_dropped").collect()), key=str)
 
 
 def test_runs_are_found_whichever_documents_hold_their_lines_first(spark):
@@ -161,7 +163,7 @@ def test_runs_are_found_whichever_documents_hold_their_lines_first(spark):
     data = [(*d, "x", 1) for d in data]
     got = dropped(spark, data)
     assert (2079, 4, 3, 21) in got and (302, 4, 3, 33) in got
-    assert got == whole(data, line_dedup.WHOLE)
+    assert got == whole(data, LineConfig())
 
 
 def test_passages_in_short_lines_go(spark):
@@ -172,5 +174,5 @@ def test_passages_in_short_lines_go(spark):
     data = [(*d, "x", 1) for d in [*data, (90, "a\nb\n" * 30), (91, "b\na\n" * 30), (92, "a\n" * 19), (93, "a\n" * 19)]]
     got = {r[0]: r for r in dropped(spark, data)}
     assert got[3][2] == 21 and got[4][2] == 15 and got[6][2] == got[93][2] == 0 and got[91][2] == 60
-    assert list(got.values()) == whole(data, line_dedup.WHOLE)
-    assert dropped(spark, rows(8)) == whole(rows(8), line_dedup.WHOLE)
+    assert list(got.values()) == whole(data, LineConfig())
+    assert dropped(spark, rows(8)) == whole(rows(8), LineConfig())
