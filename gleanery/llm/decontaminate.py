@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing (operator 9).
 
 Both sides keep the minimum k-gram hash of each sliding window of w k-grams, with k + w - 1 = ``window``, so any
-shared run of ``window`` words shares a fingerprint. Fingerprints are joined on their hash, and each match is
-extended word by word in both directions, then compared byte for byte; runs of at least ``window`` words are hits.
-Items shorter than a window are looked up whole by the hash of their few words.
+shared run of ``window`` words shares a fingerprint. Fingerprints are joined on their hash, and matches are extended word by
+word in both directions, as far as the windows that hold them reach, all matches of a batch at once; matches that go on from
+each other are one run, which is compared byte for byte, and runs of at least ``window`` words are hits. A place of an item
+whose surroundings recur in it is kept once, so that periodic texts meet no more often than others. Items shorter than a window are looked up whole by the hash of their few words.
 
 The benchmark is read in shards of at most ``shard_words`` words; a shard's index has a proven bound, so it is
 sent to all tasks, and documents are scanned where they lie, without a shuffle. One shard gives the result
@@ -17,7 +18,7 @@ empty benchmark leaves every document clean. Columns of other names pass unread.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,11 @@ class Index:
     hashes: np.ndarray  #: sorted fingerprints; the same hash may stand for many places
     where: np.ndarray  #: (sequence, position) of each
     short: dict[int, tuple[np.ndarray, np.ndarray]]  #: length: sorted hashes and their sequence
-    words: list[np.ndarray]  #: word hashes of each distinct word sequence
-    texts: list[list[bytes]]
+    words: np.ndarray  #: word hashes of all distinct word sequences, one after the other
+    base: np.ndarray  #: n+1 offsets of the sequences' words
+    text: bytes  #: their words, a space after each
+    at: np.ndarray  #: n+1 offsets of the words in it
     ids: list[list[str]]  #: item_ids of each sequence
-    seeds: dict = field(default_factory=dict)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,31 +71,39 @@ def build(items: pa.Table, window: int = 10) -> Index:
     w = window - GRAM + 1
     data, starts, ends, rows = words_of(items.column("text").combine_chunks())
     raw = data.tobytes()
-    known: dict[tuple[bytes, ...], int] = {}
-    index = Index(window, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), {}, [], [], [])
-    hashes = textkit.word_hashes(data, starts, ends)
+    known: dict[bytes, int] = {}
+    ids: list[list[str]] = []
+    kept: list[tuple[int, int]] = []  # word ranges of the distinct sequences
     for i, item in enumerate(items.column("item_id").to_pylist()):
-        a, b = rows[i], rows[i + 1]
+        a, b = int(rows[i]), int(rows[i + 1])
         if a == b:
             continue
-        text = [raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-        s = known.setdefault(tuple(text), len(known))
-        if s == len(index.ids):
-            index.words.append(hashes[a:b])
-            index.texts.append(text)
-            index.ids.append([])
-        index.ids[s].append("null" if item is None else str(item))
-    prints, places, short = [], [], {}
-    for s, h in enumerate(index.words):
+        text = b" ".join(raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
+        s = known.setdefault(text, len(ids))
+        if s == len(ids):
+            kept.append((a, b))
+            ids.append([])
+        ids[s].append("null" if item is None else str(item))
+    hashes = textkit.word_hashes(data, starts, ends)
+    base = np.concatenate([[0], np.cumsum([b - a for a, b in kept], dtype=np.int64)])
+    places = np.concatenate([np.arange(a, b) for a, b in kept]) if kept else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(ends[places] - starts[places] + 1)])
+    index = Index(window, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), {}, hashes[places], base, b"".join(t + b" " for t in known), at, ids)
+    prints, where, short = [], [], {}
+    for s in range(len(ids)):
+        h = index.words[base[s] : base[s + 1]]
         if len(h) < window:
             short.setdefault(len(h), []).append((textkit.shingle_hashes(h, len(h))[0], s))
             continue
         g = textkit.shingle_hashes(h, GRAM)
-        at = np.flatnonzero(windows_minimum(g, w))
-        prints.append(g[at])
-        places.append(np.stack([np.full(len(at), s), at], axis=1))
+        q = np.flatnonzero(windows_minimum(g, w))
+        # surroundings: all words of windows that hold the gram; beyond the text's ends each place is one of its own
+        around = np.concatenate([textkit.mix(np.arange(1, w, dtype=np.uint64)), h, textkit.mix(np.arange(w, 2 * w - 1, dtype=np.uint64))])
+        q = q[np.sort(np.unique(textkit.shingle_hashes(around, GRAM + 2 * (w - 1))[q], return_index=True)[1])]
+        prints.append(g[q])
+        where.append(np.stack([np.full(len(q), s), q], axis=1))
     if prints:
-        h, p = np.concatenate(prints), np.concatenate(places)
+        h, p = np.concatenate(prints), np.concatenate(where)
         order = np.argsort(h, kind="stable")
         index.hashes, index.where = h[order], p[order]
     for n, pairs in short.items():
@@ -113,6 +123,33 @@ def _matches(keys: np.ndarray, values: np.ndarray, usable: np.ndarray) -> tuple[
     return np.repeat(at, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _runs(index: Index, h: np.ndarray, rows: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(word, sequence, word in it, length) of the runs of at least a window that matching grams belong to, by word hashes."""
+    s, q = index.where[key].T
+    row, y = owner[place], index.base[s] + q
+    w = index.window - GRAM + 1
+    reach = []
+    for step, room in ((-1, np.minimum(place - rows[row], q)), (1, np.minimum(rows[row + 1] - place, index.base[s + 1] - y) - GRAM)):
+        n = np.zeros(len(place), np.int64)
+        todo = np.arange(len(place))
+        for i in range(1, w):
+            todo = todo[room[todo] >= i]
+            d = -i if step < 0 else GRAM - 1 + i
+            todo = todo[h[place[todo] + d] == index.words[y[todo] + d]]
+            n[todo] = i
+        reach.append(n)
+    full = np.flatnonzero(reach[0] + reach[1] + GRAM >= index.window)
+    x, s, q = place[full] - reach[0][full], s[full], q[full] - reach[0][full]
+    until = place[full] + GRAM + reach[1][full]
+    order = np.lexsort((x, x - q, s, row[full]))
+    x, s, q, until, row = x[order], s[order], q[order], until[order], row[full][order]
+    # runs of one row, sequence and diagonal that touch are one
+    new = np.ones(len(x), bool)
+    new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1]) | ((x - q)[1:] != (x - q)[:-1]) | (x[1:] > until[:-1])
+    first = np.flatnonzero(new)
+    return x[first], s[first], q[first], (np.maximum.reduceat(until, first) if len(first) else until) - x[first]
+
+
 def scan(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
     """Number of words of each text, and its hit spans (start, end, sequence)."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
@@ -128,26 +165,14 @@ def scan(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int
             continue
         h = textkit.word_hashes(data, starts, ends)
         owner = np.repeat(np.arange(b - a), np.diff(rows))
-        same = lambda p, s, q, n: all(data[starts[p + j] : ends[p + j]].tobytes() == index.texts[s][q + j] for j in range(n))  # noqa: E731, B023
+        same = lambda p, s, q, n: b"".join(data[starts[i] : ends[i]].tobytes() + b" " for i in range(p, p + n)) == index.text[index.at[index.base[s] + q] : index.at[index.base[s] + q + n]]  # noqa: E731, B023
         if len(index.hashes):
             g = textkit.shingle_hashes(h, GRAM)
-            place, key = _matches(index.hashes, g, windows_minimum(g, w))
-            done: dict[tuple[int, int, int], int] = {}
-            for p, k in zip(place.tolist(), key.tolist(), strict=True):
-                s, q = index.where[k].tolist()
-                row = int(owner[p])
-                if done.get((row, s, p - q), -1) > p:
-                    continue
-                item, lo, hi = index.words[s], int(rows[row]), int(rows[row + 1])
-                x, y = p, q
-                while x > lo and y > 0 and h[x - 1] == item[y - 1]:
-                    x, y = x - 1, y - 1
-                m = 0
-                while x + m < hi and y + m < len(item) and h[x + m] == item[y + m]:
-                    m += 1
-                done[row, s, p - q] = x + m
-                if m >= index.window and same(x, s, y, m):
-                    found[a + row].append((x - lo, x - lo + m, s))
+            place, key = _matches(index.hashes, g, windows_minimum(g, w) & (owner[: len(g)] == owner[GRAM - 1 :]))
+            for p, s, q, n in zip(*(x.tolist() for x in _runs(index, h, rows, owner, place, key)), strict=True):
+                if same(p, s, q, n):
+                    row = int(owner[p])
+                    found[a + row].append((p - int(rows[row]), p - int(rows[row]) + n, s))
         for n, (keys, seq) in index.short.items():
             if len(h) < n:
                 continue

@@ -78,3 +78,12 @@ def test_every_window_shares_a_fingerprint():
         a = rng.randrange(31)
         _, found = decontaminate.scan(index, pa.array(["x y z " + " ".join(w[a : a + 10]) + " q r s"]))
         assert decontaminate.covered([(x, y) for x, y, _ in found[0]]) >= 10
+
+
+def test_periodic_items_meet_once_a_place():
+    item = "one two three " * 20_000
+    index = decontaminate.build(pa.table({"item_id": [1, 2], "text": [item, "zz " * 50_000]}))
+    assert len(index.hashes) < 100
+    counts, found = decontaminate.scan(index, pa.array(["x " + "two three one " * 9_000 + "y", "zz " * 30_000, "one two three " * 3]))
+    assert [decontaminate.covered([(a, b) for a, b, _ in f]) for f in found] == [27_000, 30_000, 0]
+    assert counts.tolist() == [27_002, 30_000, 9]
