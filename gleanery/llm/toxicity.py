@@ -7,8 +7,8 @@ filter, so a text costs a few table rows a word. The score is calibrated (Platt)
 set aside, re-weighted to the labels' own frequencies. ``thresholds`` holds, by language, the score that does best
 there (F1); ``flag`` applies them. Labels, lang, source and doc_id are never inputs of a score.
 
-It learns on the driver from a bounded sample: at most about ``per_class`` labelled documents a class, whole texts,
-chosen by a hash of doc_id, so reruns agree.
+It learns on the driver from a bounded sample: at most about ``per_class`` labelled documents a class and ``sample_bytes`` of
+text in all, whole texts, taken in the order of a hash of doc_id as long as they fit, so reruns agree.
 
 Defined cases: null, empty and wordless texts get the score of an empty text. Rows whose label is null, or contested
 for the same doc_id, teach with what they say. With no or one-sided labels the score is the share of toxic labels (0 if
@@ -38,6 +38,7 @@ class ToxicConfig:
     size: int = 12  #: of a word's vector
     filters: int = 6  #: of each width
     per_class: int = 6000
+    sample_bytes: int = 64 << 20  #: half of it for each class
     epochs: int = 12
     batch: int = 64
     rate: float = 0.05
@@ -192,6 +193,7 @@ def _calibrate(model: ToxicModel, texts: pa.Array, y: np.ndarray, langs: list[st
 
 def train(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig()) -> ToxicModel:
     """Learns from docs (doc_id, text, lang) and labels (doc_id, toxic)."""
+    docs = docs.select("doc_id", "text", "lang")
     said = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in said.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
@@ -199,7 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig(
         return ToxicModel(None, np.zeros(0), np.zeros(0), (1.0, 0.0), 1.0 if n1 else 0.0)
     share = F.when(F.col("toxic") == 1, min(1.0, config.per_class / n1)).otherwise(min(1.0, config.per_class / n0))
     chosen = common.staged(said.where((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)) < share), "toxic-sample")
-    found = common.only(docs.where("doc_id is not null"), "doc_id", chosen).join(chosen, "doc_id").select("doc_id", "text", "lang", "toxic").toArrow()
+    drawn = common.only(docs.where("doc_id is not null"), "doc_id", chosen).join(chosen, "doc_id").select("doc_id", "text", "lang", "toxic")
+    drawn = common.staged(drawn, "toxic-texts")
+    sizes = drawn.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).withColumn("turn", F.xxhash64("doc_id", F.lit(3)))
+    wanted, room = [], {0: config.sample_bytes // 2, 1: config.sample_bytes // 2}
+    for r in sorted(sizes.collect(), key=lambda r: (r["turn"], r["doc_id"])):  # a row for each of the chosen labels, whose number is bounded
+        if r["size"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"]
+            wanted.append((r["doc_id"], r["toxic"]))
+    taken = F.broadcast(docs.sparkSession.createDataFrame(wanted, "doc_id long, toxic int"))
+    found = drawn.join(taken, ["doc_id", "toxic"], "left_semi").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     y = found.column("toxic").to_numpy()
     if not 0 < y.sum() < len(y):
