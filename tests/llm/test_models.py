@@ -43,14 +43,33 @@ def test_language_model_is_naive_bayes(spark):
     config = langid.LangConfig(buckets=1 << 10)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
     model = langid.train(df, config)
+
+    def seen(t):
+        p = np.concatenate([[np.uint32(32)], langid.letters((t or "").encode()), [np.uint32(32)]]).astype(np.uint32)
+        return np.concatenate(langid.grams(p, config.buckets))
+
     counts = {x: np.full(config.buckets, config.smoothing) for x in WORDS}
     for _, t, lang, _ in rows:
-        p = langid.letters((t or "").encode())
-        if lang and t is not None and len(p) > 2:
-            for g in langid.grams(p, config.buckets):
+        if lang and t is not None:
+            for g in seen(t):
                 counts[lang][g] += 1
-    want = np.array([np.log(counts[x] / counts[x].sum()) for x in sorted(WORDS)])
+    want = np.array([np.log(counts[x] / counts[x].sum()) for x in sorted(WORDS)]).T
     assert model.langs == sorted(WORDS) and np.allclose(model.logp, want, atol=1e-5)
+    # predictions, document by document and language by language
+    texts = [r[1] for r in rows] + ["é", "ab", " x ", "1", "\u00df" * 3]
+    langs, scores = model.score(pa.array(texts))
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        if not any(c.isalpha() for c in t or ""):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        g = seen(t)
+        total = [sum(float(model.logp[x, j]) for x in g) for j in range(len(WORDS))]
+        best = total.index(max(total))
+        z = sum(np.exp((x - total[best]) * min(len(g), config.evidence) / len(g)) for x in total)
+        assert lang == model.langs[best] and abs(score - 1 / z) < 1e-6
+    for size in (1, 50, 1 << 20):  # whatever the batches
+        parts = [x[1] for x in langid.batches_of_grams(pa.array(texts), config.buckets, size)]
+        assert np.array_equal(np.concatenate(parts), np.concatenate([seen(t) for t in texts]))
     assert langid.predict(df.limit(0)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(df.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -91,6 +110,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert {(r["doc_id"], round(r["score"], 9)) for r in again} == {(r["doc_id"], round(r["score"], 9)) for r in got}
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows, labels = toxic_documents(300)
+    docs = spark.createDataFrame([*rows, (9000, "long " * 5000, "xx", 1)], "doc_id long, text string, lang string, toxic long")
+    said = spark.createDataFrame([(d, t) for d, t, _ in labels] + [(9000, 0)], "doc_id long, toxic int")
+    drawn = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, *rest: drawn.update(texts=texts.to_pylist(), y=y))
+    for bound in (8000, 1 << 20):
+        toxicity.train(docs, said, toxicity.ToxicConfig(sample_bytes=bound))
+        sizes = [sum(len(t.encode()) for t, y in zip(drawn["texts"], drawn["y"], strict=True) if y == k) for k in (0, 1)]
+        assert max(sizes) <= bound // 2 and min(sizes) > bound // 4 or bound == 1 << 20 and len(drawn["y"]) == len(labels) + 1
+
+
+def test_toxicity_scores_match_a_plain_reading():
+    """Score of a fitted model against a word-by-word convolution of each text alone."""
+    rows, labels = toxic_documents(200)
+    truth = {d: t for d, t, _ in labels}
+    ids = [r for r in rows if r[0] in truth]
+    m = toxicity.fit(pa.array([r[1] for r in ids]), np.array([truth[r[0]] for r in ids]), [r[2] for r in ids], (1.0, 1.0), toxicity.ToxicConfig(epochs=3))
+    texts = [r[1] for r in rows[:40]] + [None, "", "?", "one", "Two WORDS", "x " * 3000]
+    k = len(m.bias) // len(toxicity.WIDTHS)
+    for t, got in zip(texts, m.score(pa.array(texts)), strict=True):
+        f, _ = toxicity.features(*toxicity.textkit.buffer_of(pa.array([t], pa.string())), len(m.table))
+        act, column = np.zeros(len(m.bias)), 0
+        for i, w in enumerate(toxicity.WIDTHS):
+            for q in range(k):
+                sums = [sum(float(m.table[f[p + j], column + j * k + q].sum()) for j in range(w)) for p in range(len(f) - w + 1)]
+                act[i * k + q] = max(sums) + m.bias[i * k + q] if sums else 0.0
+            column += w * k
+        z = m.scale[0] * (act @ m.out[:-1] + m.out[-1]) + m.scale[1]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_toxicity_without_labels(spark):
     rows, labels = toxic_documents(40)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic long")
