@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +18,10 @@ TAGS = 45
 
 
 def conv1d(x: np.ndarray, weight: np.ndarray, bias: np.ndarray, pad: int = 0) -> np.ndarray:
-    """(length, in) to (length', out); weight: (width, in, out)."""
-    x = np.pad(x, ((pad, pad), (0, 0)))
-    n = len(x) - len(weight) + 1
-    return sum(x[j : j + n] @ weight[j] for j in range(len(weight))) + bias
+    """(.., length, in) to (.., length', out); weight: (width, in, out)."""
+    x = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(pad, pad), (0, 0)])
+    n = x.shape[-2] - len(weight) + 1
+    return sum(x[..., j : j + n, :] @ weight[j] for j in range(len(weight))) + bias
 
 
 def relu(x: np.ndarray) -> np.ndarray:
@@ -29,22 +29,22 @@ def relu(x: np.ndarray) -> np.ndarray:
 
 
 def tag_rows(general: np.ndarray, domain: np.ndarray, tags: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Logits (length, classes) of one padded sentence; tags 1..45 as flags, 0 as none."""
-    x = np.concatenate([general, domain], axis=1)
-    h = relu(np.concatenate([conv1d(x, w["c1"], w["c1b"], 2), conv1d(x, w["c2"], w["c2b"], 1)], axis=1))
+    """Logits (.., length, classes) of padded sentences; tags 1..45 as flags, 0 as none."""
+    x = np.concatenate([general, domain], axis=-1)
+    h = relu(np.concatenate([conv1d(x, w["c1"], w["c1b"], 2), conv1d(x, w["c2"], w["c2b"], 1)], axis=-1))
     for name in ("c3", "c4", "c5"):
         h = relu(conv1d(h, w[name], w[name + "b"], 2))
-    flags = np.eye(TAGS + 1)[tags][:, 1:]
-    h = relu(np.concatenate([h, flags, domain], axis=1) @ w["l1"] + w["l1b"])
+    flags = np.eye(TAGS + 1)[tags][..., 1:]
+    h = relu(np.concatenate([h, flags, domain], axis=-1) @ w["l1"] + w["l1b"])
     return h @ w["l2"] + w["l2b"]
 
 
 def labels_of(logits: np.ndarray, axis: str = "position") -> np.ndarray:
     """Class per token. ``position`` normalises each class over the padded positions first, as the older scorer did; ``class`` doesn't."""
     if axis == "position":
-        top = logits.max(axis=0)
-        logits = logits - (top + np.log(np.exp(logits - top).sum(axis=0)))
-    return logits.argmax(axis=1)
+        top = logits.max(axis=-2, keepdims=True)
+        logits = logits - (top + np.log(np.exp(logits - top).sum(axis=-2, keepdims=True)))
+    return logits.argmax(axis=-1)
 
 
 def viterbi(logits: np.ndarray, transition: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
@@ -73,37 +73,79 @@ def padded_width(df: DataFrame, toks: str, least: int = 130) -> int:
     return max(least, df.agg(F.coalesce(F.max(F.size(toks)), F.lit(0))).first()[0])
 
 
-def infer_labels(df: DataFrame, key: str, toks: str, tag_ids: str, general: dict[str, np.ndarray], domain: dict[str, np.ndarray], weights: dict[str, np.ndarray], width: int, axis: str = "position", crf: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """(key, labels): labels per token of rows (key, toks, tag_ids). Unknown words have zero vectors. Arrow batches, weights broadcast."""
+class Lookup:
+    """Words to rows of a matrix; unknown words have the last row, zeros."""
+
+    def __init__(self, table: dict[str, np.ndarray]):
+        self.at = {w: i for i, w in enumerate(table)}
+        rows = [np.asarray(v, float) for v in table.values()]
+        self.rows = np.array([*rows, np.zeros(len(rows[0]) if rows else 1)])
+
+    def ids(self, words) -> np.ndarray:
+        return np.array([self.at.get(w, len(self.rows) - 1) for w in words], np.int64)
+
+
+def infer_labels(df: DataFrame, key: str, toks: str, tag_ids: str, general: dict[str, np.ndarray], domain: dict[str, np.ndarray], weights: dict[str, np.ndarray], width: int, axis: str = "position", crf: dict[str, np.ndarray] | None = None, batch: int = 128) -> DataFrame:
+    """(key, labels): labels per token of rows (key, toks, tag_ids). Unknown words have zero vectors.
+
+    Arrow batches, weights broadcast; ``batch`` sentences go through the network at a time, padded to one width."""
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((general, domain, weights, crf))
+    shared = sc.broadcast((Lookup(general), Lookup(domain), weights, crf))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(sentences: list, tags: list) -> list[list[int]]:
         g, d, w, c = shared.value
-        dims = [len(next(iter(t.values()), np.zeros(1))) for t in (g, d)]
+        sizes = [len(x) for x in sentences]
+        shape = (len(sentences), max(width, *sizes))
+        row, col = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes])
+        flat = [x for s in sentences for x in s]
+        ids = []
+        for table in (g, d):
+            at = np.full(shape, len(table.rows) - 1)
+            at[row, col] = table.ids(flat)
+            ids.append(table.rows[at])
+        t = np.zeros(shape, np.int64)
+        t[row, col] = [0 if x is None or x != x else int(x) for s in tags for x in s]
+        z = tag_rows(*ids, t, w)
+        if c:
+            return [viterbi(z[i, :n], c["transition"], c["start"], c["end"]) for i, n in enumerate(sizes)]
+        return [x[:n].tolist() for x, n in zip(labels_of(z, axis), sizes, strict=True)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for words, tags in zip(b[toks], b[tag_ids], strict=True):
-                n = len(words) if words is not None else 0
-                if not n:
-                    out.append([])
-                    continue
-                rows = max(width, n)
-                x = [np.zeros((rows, k)) for k in dims]
-                t = np.zeros(rows, np.int64)
-                for i, (word, tag) in enumerate(zip(words, tags, strict=True)):
-                    for side, table in zip(x, (g, d), strict=True):
-                        if word in table:
-                            side[i] = table[word]
-                    t[i] = 0 if tag is None or tag != tag else int(tag)
-                z = tag_rows(x[0], x[1], t, w)
-                out.append(viterbi(z[:n], c["transition"], c["start"], c["end"]) if c else labels_of(z, axis)[:n].tolist())
+            sentences = [[] if x is None else list(x) for x in b[toks]]
+            tags = [[] if x is None else list(x) for x in b[tag_ids]]
+            out: list[list[int]] = [[] for _ in sentences]
+            usual = [i for i, s in enumerate(sentences) if 0 < len(s) <= width]
+            groups = [usual[i : i + batch] for i in range(0, len(usual), batch)] + [[i] for i, s in enumerate(sentences) if len(s) > width]
+            for group in groups:
+                for i, labels in zip(group, label([sentences[i] for i in group], [tags[i] for i in group]), strict=True):
+                    out[i] = labels
             yield pd.DataFrame({key: b[key], "labels": out})
 
     schema = T.StructType([df.schema[key], T.StructField("labels", T.ArrayType(T.IntegerType()))])
     return df.select(key, toks, tag_ids).mapInPandas(run, schema)
 
 
+def best_paths(logits: Column, crf: dict[str, np.ndarray]) -> Column:
+    """Labels of an array of logits (position, class) by a linear-chain model; null and empty stay so."""
+
+    @F.pandas_udf("array<int>")
+    def paths(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda z: None if z is None else viterbi(np.array(list(z), float), crf["transition"], crf["start"], crf["end"]) if len(z) else [])
+
+    return paths(logits)
+
+
+def position_labels(logits: Column, axis: str = "position") -> Column:
+    """labels_of() of an array of logits (position, class)."""
+
+    @F.pandas_udf("array<int>")
+    def labels(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda z: None if z is None else labels_of(np.array(list(z), float), axis).tolist() if len(z) else [])
+
+    return labels(logits)
+
+
 def kernels_of(w: dict[str, np.ndarray]) -> list[int]:
     return sorted(int(n[1:]) for n in w if n[0] == "x" and n[1:].isdigit())
 

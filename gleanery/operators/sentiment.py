@@ -36,6 +36,16 @@ def _table(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def may_hold(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
+    """False only where no token of the text can be a word of the lexicon: one regular expression, asked before any token is cut.
+
+    The tokenizer parts letters from letters before n't alone, so elsewhere a word of letters has none beside it."""
+    plain = sorted(w for w in lexicon if w.isascii() and w.isalpha())
+    parts = [rf"(?<![a-z])(?:{'|'.join(plain)})(?:(?![a-z])|(?=n't))"] if plain else []
+    parts += [rf"\Q{w}\E" for w in sorted(lexicon) if w not in plain]
+    return F.lower(text).rlike("|".join(parts)) if parts else F.lit(False)
+
+
 def valences(toks: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """Per token: its valence, raised by a booster just before, turned and damped by a negation among the three before."""
     def of(low):
@@ -68,7 +78,9 @@ def sentence_scores(sentence: Column, lexicon: dict[str, float] = LEXICON) -> Co
         shares = lambda m: let(_sum(m), lambda mass: F.transform(m, lambda x: F.when(mass > 0, x / mass).otherwise(0.0)))
         return F.struct(let(F.array(neg, neu, pos), shares).alias("scores"), let(_sum(v), lambda t: t / F.sqrt(t * t + 15)).alias("compound"))
 
-    return let(valences(tokens(sentence, None), lexicon), of)
+    # without a known word all of a sentence's mass is neutral
+    quiet = F.struct(F.array(F.lit(0.0), F.when(sentence.rlike(r"\S"), 1.0).otherwise(0.0), F.lit(0.0)).alias("scores"), F.lit(0.0).alias("compound"))
+    return F.when(may_hold(sentence, lexicon), let(valences(tokens(sentence, None), lexicon), of)).otherwise(quiet)
 
 
 def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
@@ -86,8 +98,10 @@ def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
 
 def pattern_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """Mean valence of the known words: polarity p from 0 to 1, scores [1 - p, 0, p]."""
-    low = F.transform(tokens(F.coalesce(text, F.lit("")), None), lambda t: F.lower(t))
+    whole = F.coalesce(text, F.lit(""))
+    low = F.transform(tokens(whole, None), lambda t: F.lower(t))
     known = F.filter(F.transform(low, lambda t: _look(lexicon, t)), lambda x: x.isNotNull())
+    known = F.when(may_hold(whole, lexicon), known).otherwise(F.array().cast("array<double>"))
     mean = let(known, lambda k: F.when(F.size(k) > 0, _sum(k) / F.size(k) / 4).otherwise(0.0))
     return let(normalize(mean), lambda p: F.struct(p.alias("polarity"), F.array(1 - p, F.lit(0.0), p).alias("scores")))
 

@@ -252,12 +252,6 @@ def aspect_rows(spark, d):
     return relational.aspect_rows(rows)
 
 
-@query("polarity_source", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' ELSE 'positive' END AS label FROM labels WHERE toxic = 1 OR quality = 1")
-def polarity_source(spark, d):
-    rows = table(spark, d, "labels")
-    return rows.where("toxic = 1").select("doc_id", F.lit("negative").alias("label")).unionByName(rows.where("toxic = 0 and quality = 1").select("doc_id", F.lit("positive").alias("label")))
-
-
 @query("train_dev_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) > count(*) OVER () - CAST(floor(0.1 * count(*) OVER ()) AS BIGINT) THEN 'dev' ELSE 'train' END AS split FROM documents")
 def train_dev_split(spark, d):
     return relational.train_dev_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.1, seed=None)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import shutil
 import tarfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import sentiment_name
+from gleanery.sources.shared import as_file
 
 TRANSFER_SCHEMA = "RowKey string, Question string, Response string, aspect string, sentiment int, keyword string"
 
@@ -48,31 +51,90 @@ def vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string,int>")).alias("word", "word_id"))
 
 
-def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(word_id, vec) of a numpy matrix; no pickled objects are read."""
-    m = np.load(path, allow_pickle=False, mmap_mode="r")
-    at = np.arange(0, m.size + 1, m.shape[1])
-    table = pa.table({"word_id": np.arange(len(m)), "vec": pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(m).ravel().astype(np.float32)))})
-    return spark.createDataFrame(table.set_column(1, "vec", table["vec"].cast(pa.list_(pa.float32()))))
+def matrix_npy(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """(word_id, vec) of a numpy matrix in a shared folder; no pickled objects are read. Tasks map their own rows, the driver reads the header."""
+    at = as_file(path)
+    n = len(np.load(at, allow_pickle=False, mmap_mode="r"))
+
+    def read(batches):
+        m = np.load(at, allow_pickle=False, mmap_mode="r")
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                part = np.ascontiguousarray(m[i * rows : (i + 1) * rows]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i * rows, i * rows + len(part))), _lists(part)], ["word_id", "vec"])
+
+    return spark.range(-(-n // rows)).mapInArrow(read, "word_id long, vec array<float>")
+
+
+def _lists(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, max(1, m.shape[1])), pa.int32()), pa.array(m.ravel()))
+
+
+def save_matrix_npy(df: DataFrame, path: str, rows: int, dim: int) -> None:
+    """A numpy file in a shared folder, from (word_id, vec) with word_id from 0 to rows - 1. Tasks write their own rows, a repeated task the same ones."""
+    at = as_file(path)
+    np.lib.format.open_memmap(at, mode="w+", dtype=np.float32, shape=(rows, dim)).flush()
+
+    def write(batches):
+        m = np.lib.format.open_memmap(at, mode="r+")
+        for b in batches:
+            m[b.column(0).to_numpy()] = np.array(b.column(1).to_pylist(), np.float32).reshape(-1, dim)
+        m.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["done"])
+
+    df.select(F.col("word_id").cast("long"), F.col("vec").cast("array<float>")).mapInArrow(write, "done long").write.format("noop").mode("overwrite").save()
 
 
 def word2vec_binary(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
-    """(word, vec) of a word2vec binary file, through Arrow batches."""
-    tables = []
-    with open(path, "rb") as f:
+    """(word, vec) of a word2vec binary file in a shared folder. The driver walks over the words to find where each batch starts; tasks read the batches."""
+    at = as_file(path)
+    with open(at, "rb") as f:
         n, dim = map(int, f.readline().split())
-        for a in range(0, n, batch):
-            words, rows = [], []
-            for _ in range(min(batch, n - a)):
-                word = bytearray()
-                while (c := f.read(1)) not in (b" ", b""):
-                    if c != b"\n":
-                        word += c
-                words.append(word.decode("utf-8", "replace"))
-                rows.append(np.frombuffer(f.read(4 * dim), np.float32).tolist())
-            tables.append(pa.table({"word": words, "vec": pa.array(rows, pa.list_(pa.float32()))}))
-    schema = pa.schema([("word", pa.string()), ("vec", pa.list_(pa.float32()))])
-    return spark.createDataFrame(pa.concat_tables(tables) if tables else schema.empty_table())
+        pos, starts = f.tell(), []
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+            for i in range(n):
+                if i % batch == 0:
+                    starts.append((pos, min(batch, n - i)))
+                pos = m.find(b" ", pos) + 1 + 4 * dim
+
+    def read(batches):
+        with open(at, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+            for b in batches:
+                for pos, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words, rows = [], np.empty((count, dim), np.float32)
+                    for i in range(count):
+                        end = m.find(b" ", pos)
+                        words.append(m[pos:end].replace(b"\n", b"").decode("utf-8", "replace"))
+                        rows[i] = np.frombuffer(m, np.float32, dim, end + 1) if (end + 1) % 4 == 0 else np.frombuffer(m[end + 1 : end + 1 + 4 * dim], np.float32)
+                        pos = end + 1 + 4 * dim
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), _lists(rows)], ["word", "vec"])
+
+    if not starts:
+        return spark.createDataFrame([], "word string, vec array<float>")
+    return spark.createDataFrame(starts, "pos long, count long").repartition(len(starts) if len(starts) < 200 else 200).mapInArrow(read, "word string, vec array<float>")
+
+
+def save_word2vec_binary(df: DataFrame, path: str, dim: int) -> None:
+    """A word2vec binary file in a shared folder, from (word, vec). Tasks write parts; the driver strings together those of the tasks that ended well."""
+    at = as_file(path)
+    os.makedirs(f"{at}.parts")
+
+    def write(batches):
+        name, n = f"{at}.parts/{uuid.uuid4().hex}", 0
+        with open(name, "wb") as f:
+            for b in batches:
+                for word, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    f.write(word.encode() + b" " + np.array(vec, np.float32).tobytes() + b"\n")
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
+
+    parts = df.select("word", F.col("vec").cast("array<float>")).mapInArrow(write, "name string, n long").collect()  # one row a task
+    with open(at, "wb") as out:
+        out.write(f"{sum(p['n'] for p in parts)} {dim}\n".encode())
+        for p in parts:
+            with open(p["name"], "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+    shutil.rmtree(f"{at}.parts")
 
 
 def vectors_text(spark: SparkSession, path: str, words: DataFrame | None = None) -> DataFrame:
@@ -97,8 +159,8 @@ def aspect_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transfer_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The transfer table, with the sentiment's name."""
-    return spark.read.csv(path, header=True, schema=TRANSFER_SCHEMA, sep=sep).withColumn("sentiment_name", sentiment_name(F.col("sentiment")))
+    """The transfer table, with the sentiment's name; quotes inside a quoted field are doubled."""
+    return spark.read.csv(path, header=True, schema=TRANSFER_SCHEMA, sep=sep, escape='"').withColumn("sentiment_name", sentiment_name(F.col("sentiment")))
 
 
 def vector_line(word: Column, vec: Column) -> Column:

@@ -140,11 +140,11 @@ def test_vocabulary_and_bags(spark):
 
 def test_topic_dictionary(spark):
     table = topics.topic_table({"Error": ["boom"], "New": ["zip"]})
-    assert [t for t, _ in table][-1] == "New" and dict(table)["Error"] == ["boom"] and len(table) == 17
-    assert dict(topics.topic_table())["Error"] == ["error", "test"]
-    df = spark.createDataFrame([("the BUILD quit, zip boom",), ("none xyz",), ("error test",)], "line string")
+    assert [t for t, _ in table][-1] == "New" and dict(table)["Error"] == ["boom"] and len(table) == 11
+    assert dict(topics.topic_table())["Problem"] == "error crash fail broken bug fault".split()
+    df = spark.createDataFrame([("the PRICEY one, zip boom",), ("none xyz",), ("error test",)], "line string")
     got = [r["m"] for r in df.select(topics.match_topics(F.col("line"), table).alias("m")).collect()]
-    assert got == ["App Error New", "", ""]
+    assert got == ["Price Problem New", "", ""]
     beta = spark.createDataFrame([(0, 0, "a", 1.0), (0, 1, "b", 1.0), (0, 2, "zip", 3.0), (1, 0, "q", 0.1)], "topic int, word_id int, word string, weight double")
     rows = {r["topic"]: (r["words"], r["label"]) for r in topics.label_topics(topics.top_words(beta, 2), table).collect()}
     assert rows == {0: (["zip", "b"], "New - zip b"), 1: (["q"], " - q")}
