@@ -139,8 +139,8 @@ def test_vocabulary_and_bags(spark):
 
 
 def test_topic_dictionary(spark):
-    table = topics.topic_table({"Error": ["boom"], "New": ["zip"]})
-    assert [t for t, _ in table][-1] == "New" and dict(table)["Error"] == ["boom"] and len(table) == 11
+    table = topics.topic_table({"Problem": ["boom"], "New": ["zip"]})
+    assert [t for t, _ in table][-1] == "New" and dict(table)["Problem"] == ["boom"] and len(table) == 11
     assert dict(topics.topic_table())["Problem"] == "error crash fail broken bug fault".split()
     df = spark.createDataFrame([("the PRICEY one, zip boom",), ("none xyz",), ("error test",)], "line string")
     got = [r["m"] for r in df.select(topics.match_topics(F.col("line"), table).alias("m")).collect()]
