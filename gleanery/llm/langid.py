@@ -2,8 +2,8 @@
 
 Texts are lower-cased, all but letters become spaces, one is put at either end, and bigrams and trigrams of code points are hashed into
 ``buckets``. Counting runs where the training texts lie: each task sums its counts, the counts are summed by
-(language, bucket), and the matrix of log probabilities (buckets x languages, its size checked) is sent to all tasks.
-Scoring is sparse and by batches: the n-grams of many texts pick their rows, whose sums run over whole texts.
+(language, bucket), and the matrix of log probabilities (languages x buckets, its size checked) is sent to all tasks.
+Scoring is sparse and by batches: the n-grams of many texts pick their columns, whose sums run over whole texts.
 
 It learns from a bounded sample, at most about ``docs_per_lang`` labelled documents a language, chosen by a hash of
 doc_id, so reruns agree.
@@ -56,10 +56,11 @@ def grams(points: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (two * np.uint32(0x27D4EB2F) >> shift).astype(np.int64), (three >> shift).astype(np.int64)
 
 
-def batches_of_grams(texts: pa.Array, buckets: int, size: int = textkit.CHUNK_BYTES // 4) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per range of rows: its first row, all rows' n-grams in order, n+1 offsets of the rows', and which rows have a letter.
+def batches_of_grams(texts: pa.Array, buckets: int, size: int = textkit.CHUNK_BYTES // 16) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per range of rows: its first row, the bigram's and the trigram's bucket at each place, n+1 offsets of the rows' places, and which
+    rows have a letter. A place where none begins has bucket ``buckets``.
 
-    Each row is taken with a space before and after it, so that no n-gram spans two rows.
+    Each row is taken with a space before and after it; n-grams that cross from a row to the next don't count.
     """
     data, offsets = textkit.buffer_of(texts)
     for lo, hi in textkit.chunks(offsets, size):
@@ -69,23 +70,15 @@ def batches_of_grams(texts: pa.Array, buckets: int, size: int = textkit.CHUNK_BY
         if len(points) != begin[-1]:  # bytes that aren't UTF-8: row by row
             rows = [letters(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(lo, hi)]
             begin, points = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows)
-        n = np.diff(begin)
-        row = np.repeat(np.arange(hi - lo), n)
-        padded = np.full(len(points) + 2 * (hi - lo), 32, np.uint32)
-        padded[np.arange(len(points)) + 2 * row + 1] = points
-        two, three = grams(padded, buckets)
-        # a row of n points has n + 1 bigrams and n trigrams; those that cross to the next row are left out
         at = begin + 2 * np.arange(hi - lo + 1)
-        keep_two, keep_three = np.ones(len(two), bool), np.ones(len(three), bool)
-        ends = at[1:-1]
-        keep_two[ends - 1] = False
-        keep_three[ends - 1] = keep_three[ends - 2] = False
-        own = np.repeat(np.arange(hi - lo), n + 2)
-        seen, of = np.concatenate([two[keep_two], three[keep_three]]), np.concatenate([own[:-1][keep_two], own[:-2][keep_three]])
-        order = np.argsort(of, kind="stable")
-        some = np.zeros(hi - lo, bool)
-        some[row[points != 32]] = True
-        yield lo, seen[order], np.concatenate([[0], np.cumsum(2 * n + 1)]), some
+        edge = np.ones(at[-1], bool)
+        edge[at[:-1]] = edge[at[1:] - 1] = False
+        padded = np.full(at[-1], 32, np.uint32)
+        padded[edge] = points
+        two, three = grams(padded, buckets)
+        two, three = np.append(two, buckets), np.append(three, [buckets, buckets])
+        two[at[1:] - 1] = three[at[1:] - 1] = three[at[1:] - 2] = buckets
+        yield lo, two, three, at, np.logical_or.reduceat(padded != 32, at[:-1])
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -95,20 +88,22 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 @dataclass
 class LangModel:
     langs: list[str]
-    logp: np.ndarray  #: buckets x languages
+    logp: np.ndarray  #: languages x buckets
     evidence: int
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: a batch's n-grams pick their rows of the matrix, whose sums over each text are its evidence."""
+        """Language and score of each text: a batch's n-grams pick their columns of the matrix, whose sums over each text are its evidence."""
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return langs, scores
-        for lo, seen, at, some in batches_of_grams(texts, len(self.logp)):
-            n = np.diff(at)
+        table = np.concatenate([self.logp, np.zeros((len(self.langs), 1), np.float32)], axis=1)  # what doesn't count adds nothing
+        for lo, two, three, at, some in batches_of_grams(texts, self.logp.shape[1]):
+            n = 2 * np.diff(at) - 3
             total = np.empty((len(n), len(self.langs)))
-            step = max(1, (1 << 22) // len(seen))  # languages at a time
+            step = max(1, (1 << 22) // len(two))  # languages at a time
             for j in range(0, len(self.langs), step):
-                total[:, j : j + step] = np.add.reduceat(self.logp[seen, j : j + step], at[:-1], axis=0, dtype=np.float64)
+                part = table[j : j + step]
+                total[:, j : j + step] = np.add.reduceat(part.take(two, axis=1) + part.take(three, axis=1), at[:-1], axis=1, dtype=np.float64).T
             best = total.argmax(axis=1)
             z = np.exp((total - total.max(axis=1, keepdims=True)) * (np.minimum(n, self.evidence) / n)[:, None]).sum(axis=1)
             for i in np.flatnonzero(some).tolist():
@@ -124,26 +119,27 @@ def train(docs: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
         raise ValueError(f"more than {config.most_langs} languages")
     langs = sorted(r["lang"] for r in counted)
     if not langs:
-        return LangModel([], np.zeros((config.buckets, 0), np.float32), config.evidence)
+        return LangModel([], np.zeros((0, config.buckets), np.float32), config.evidence)
     share = F.create_map(*[x for r in counted for x in (F.lit(r["lang"]), F.lit(min(1.0, config.docs_per_lang / r["rows"])))])
     chosen = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")])
     at, buckets = {x: i for i, x in enumerate(langs)}, config.buckets
 
     def count(batches):
-        c = np.zeros(len(at) * buckets, np.int64)
+        c = np.zeros(len(at) * (buckets + 1), np.int64)
         for b in batches:
             of = np.array([at[x] for x in b.column(1).to_pylist()], np.int64)
-            for lo, seen, ends, _ in batches_of_grams(b.column(0), buckets):
-                lang = np.repeat(of[lo : lo + len(ends) - 1], np.diff(ends))
-                np.add.at(c, lang * buckets + seen, 1)
-        c = c.reshape(len(at), buckets)
+            for lo, two, three, ends, _ in batches_of_grams(b.column(0), buckets):
+                lang = np.repeat(of[lo : lo + len(ends) - 1], np.diff(ends)) * (buckets + 1)
+                for seen in (two, three):
+                    np.add.at(c, lang + seen, 1)
+        c = c.reshape(len(at), buckets + 1)[:, :buckets]
         i, j = np.nonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(c[i, j])], ["i", "j", "c"])
 
     rows = chosen.select("text", "lang").mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toArrow()
     c = np.full((len(langs), buckets), config.smoothing)
     c[rows.column(0).to_numpy(), rows.column(1).to_numpy()] += rows.column(2).to_numpy()
-    return LangModel(langs, np.ascontiguousarray(np.log(c / c.sum(axis=1, keepdims=True)).T.astype(np.float32)), config.evidence)
+    return LangModel(langs, np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32), config.evidence)
 
 
 def identify(docs: DataFrame, model: LangModel) -> DataFrame:
