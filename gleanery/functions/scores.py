@@ -13,6 +13,13 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """To so many places as DuckDB's round() does it: of the product in doubles. Spark's round() goes by the shortest decimal, so that
+    at ties, where doubles lie on either side of the decimal, the two may differ by one in the last place."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x.cast("double") * float(10**places)) / float(10**places)
+
+
 def normalize(s: Column, low: float = -1.0, high: float = 1.0) -> Column:
     return (s - low) / (high - low)
 

@@ -67,7 +67,7 @@ def _gate_rows(spark, d):
 def _gate_query(weights):
     def run(spark, d):
         rows = neural.score_aspects(_gate_rows(spark, d), "toks", "aspect", VECTORS, weights)
-        return rows.select("conv_id", "turn", "sentiment", *[F.round(F.get("score", F.lit(i)), 6).alias(n) for i, n in enumerate(("neg", "neu", "pos"))])
+        return rows.select("conv_id", "turn", "sentiment", *[scores.rounded(F.get("score", F.lit(i)), 6).alias(n) for i, n in enumerate(("neg", "neu", "pos"))])
 
     return run
 
@@ -102,7 +102,7 @@ def score_sentences(spark, d):
     found = F.transform(F.arrays_zip("aspect", "sentiment"), lambda x: F.concat_ws("=", x["aspect"], F.coalesce(x["sentiment"], F.lit("?"))))
     total = F.aggregate(F.filter("compound", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
     some = F.exists("compound", lambda x: x.isNotNull())
-    return got.select("item", F.size("aspect").cast("long").alias("n"), F.array_join(found, "; ").alias("found"), F.when(some, F.round(total, 5)).alias("compound"))
+    return got.select("item", F.size("aspect").cast("long").alias("n"), F.array_join(found, "; ").alias("found"), F.when(some, scores.rounded(total, 5)).alias("compound"))
 
 
 # Taggers: the best path of a linear chain, labels by position
@@ -194,19 +194,19 @@ def _sub_sql(word: str, source: str) -> str:
 @query("subword_vectors", f"SELECT event_id, round(x, 4) AS x, round(y, 4) AS y FROM {_sub_sql('event_type', 'events')}")
 def subword_vectors(spark, d):
     rows = _SUB.column(table(spark, d, "events").select("event_id", "event_type"), "event_type")
-    return rows.select("event_id", *[F.round(F.get("vec", F.lit(i)), 4).alias(n) for i, n in enumerate("xy")])
+    return rows.select("event_id", *[scores.rounded(F.get("vec", F.lit(i)), 4).alias(n) for i, n in enumerate("xy")])
 
 
 @query("subword_vectors_of_numbers", f"SELECT event_id, round(x, 4) AS x, round(y, 4) AS y FROM {_sub_sql('CAST(user_id AS VARCHAR)', 'events')}")
 def subword_vectors_of_numbers(spark, d):
     rows = _SUB.column(table(spark, d, "events").select("event_id", "user_id"), "user_id")
-    return rows.select("event_id", *[F.round(F.get("vec", F.lit(i)), 4).alias(n) for i, n in enumerate("xy")])
+    return rows.select("event_id", *[scores.rounded(F.get("vec", F.lit(i)), 4).alias(n) for i, n in enumerate("xy")])
 
 
 @query("subword_vectors_of_arrays", f"SELECT event_id, 2 AS n, round(a.x + b.x, 4) AS x FROM {_sub_sql('event_type', 'events')} a JOIN {_sub_sql('CAST(user_id AS VARCHAR)', 'events')} b USING (event_id)")
 def subword_vectors_of_arrays(spark, d):
     rows = _SUB.column(table(spark, d, "events").select("event_id", F.array("event_type", F.col("user_id").cast("string")).alias("words")), "words")
-    return rows.select("event_id", F.size("vec").alias("n"), F.round(F.aggregate(F.transform("vec", lambda v: F.get(v, F.lit(0))), F.lit(0.0), lambda a, x: a + x), 4).alias("x"))
+    return rows.select("event_id", F.size("vec").alias("n"), scores.rounded(F.aggregate(F.transform("vec", lambda v: F.get(v, F.lit(0))), F.lit(0.0), lambda a, x: a + x), 4).alias("x"))
 
 
 _LANGS = "(SELECT DISTINCT event_type AS word FROM events)"
@@ -217,14 +217,14 @@ def vocabulary_growth(spark, d):
     """A table that knows some words gets vectors for the others."""
     words = table(spark, d, "events").select(F.col("event_type").alias("word"))
     known = words.where("word <= 'm'").distinct().withColumn("vec", F.array(F.lit(-1.0), F.lit(0.0)))
-    return _SUB.fill(words, known).select("word", F.round(F.get("vec", F.lit(0)), 4).alias("x"))
+    return _SUB.fill(words, known).select("word", scores.rounded(F.get("vec", F.lit(0)), 4).alias("x"))
 
 
 @query("mean_vector", "SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
 def mean_vector(spark, d):
     rows = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("vec"))
     got = embeddings.mean_vector(rows, "label")
-    return got.select("label", F.posexplode("vec").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+    return got.select("label", F.posexplode("vec").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), scores.rounded("x", 6).alias("x"))
 
 
 def _vector_table(spark, d):
@@ -234,13 +234,13 @@ def _vector_table(spark, d):
 @query("aspects_by_first_word", "SELECT doc_id, round(coalesce(a.embedding, b.embedding)[1]::DOUBLE, 6) AS x FROM documents LEFT JOIN embeddings a ON a.vec_id = doc_id JOIN embeddings b ON b.vec_id = 0")
 def aspects_by_first_word(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Word"), F.col("doc_id").cast("string"), F.lit(" of it")).alias("aspect"))
-    return embeddings.aspects_from_first_word(rows, _vector_table(spark, d), unknown="Word0").select("doc_id", F.round(F.get("vec", F.lit(0)), 6).alias("x"))
+    return embeddings.aspects_from_first_word(rows, _vector_table(spark, d), unknown="Word0").select("doc_id", scores.rounded(F.get("vec", F.lit(0)), 6).alias("x"))
 
 
 @query("aspects_by_table", "SELECT vec_id, round(embedding[2]::DOUBLE, 6) AS y FROM embeddings")
 def aspects_by_table(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("wORD"), F.col("vec_id").cast("string")).alias("aspect"))
-    return embeddings.aspects_from_table(rows, _vector_table(spark, d), 2).select("vec_id", F.round(F.get("vec", F.lit(1)), 6).alias("y"))
+    return embeddings.aspects_from_table(rows, _vector_table(spark, d), 2).select("vec_id", scores.rounded(F.get("vec", F.lit(1)), 6).alias("y"))
 
 
 @query("embedding_choice", "SELECT kind, CAST(doc_id AS VARCHAR) AS word, round(CASE WHEN kind = 'yelp' THEN -1 ELSE 1 END * coalesce(embedding[1]::DOUBLE, 0), 6) AS x FROM documents CROSS JOIN (VALUES ('glove'), ('yelp'), ('w2v')) t(kind) LEFT JOIN embeddings ON vec_id = doc_id")
@@ -249,7 +249,7 @@ def embedding_choice(spark, d):
     words = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("word"))
     have = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").cast("array<double>").alias("vec"))
     kinds = {"glove": have, "w2v": have, "yelp": have.withColumn("vec", F.transform("vec", lambda x: -x))}
-    out = [embeddings.embedding_table(k, kinds, words, 0.0, 64).select(F.lit(k).alias("kind"), "word", F.round(F.get("vec", F.lit(0)), 6).alias("x")) for k in kinds]
+    out = [embeddings.embedding_table(k, kinds, words, 0.0, 64).select(F.lit(k).alias("kind"), "word", scores.rounded(F.get("vec", F.lit(0)), 6).alias("x")) for k in kinds]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

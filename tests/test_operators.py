@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def test_sentiment(spark):
     assert tuple(means) == (1, 0.5, 0.5, 0.0, 0.25)
 
 
+@pytest.mark.parametrize("k", [43, 53])
+def test_scores_round_as_the_sql_does(spark, tmp_path, k):
+    text = " ".join(["terrible."] * k + ["plain."] * (256 - k))  # neg comes to 0.5046875 and 0.5203125
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("overall_score", "lexicon_sentiment"):
+        df = plans.QUERIES[name](spark, str(tmp_path))
+        with duckdb.connect() as db:
+            db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+            want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.SQL[name]})").fetchall()
+        assert [tuple(r) for r in df.collect()] == want
+
+
 def test_vocabulary_and_bags(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["a"]), (3, []), (4, ["Z", "é"])], "doc_id long, keywords array<string>")
     v = topics.vocabulary(df)
