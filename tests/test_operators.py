@@ -214,6 +214,23 @@ def test_topic_model_takes_many_documents_of_many_words(spark):
     assert model.top_words_and_topics().count() == 2 and model.perplexity() > 1
 
 
+def test_topic_model_holds_no_array_as_long_as_the_words(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.array(*[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(150))) for k in range(9)]).alias("keywords"))
+    config = topics.TopicConfig(n_topics=2, hidden=(4, 4), epochs=3, batch=20, rate=0.02)
+    held = topics.TopicModel(df, config=config)
+    assert held.fit()
+    for name, value in (("HELD_CELLS", 100), ("BLOCK_CELLS", 170), ("BAG_ROWS", 90)):
+        monkeypatch.setattr(topics, name, value)
+    mapped = topics.TopicModel(df, config=config)
+    assert mapped.fit() and mapped.losses == pytest.approx(held.losses) and mapped.perplexity() == pytest.approx(held.perplexity())
+    m = mapped.model
+    long = [x for x in (*m.p.values(), *itertools.chain(*m.moments.values(), *m.running.values()), mapped.x.ids, mapped.x.counts) if x.size > 100]
+    assert len(long) == 19 and all(isinstance(x, np.memmap) for x in long) and isinstance(mapped.x.ids, np.memmap)
+    assert all(np.allclose(m.p[k], held.model.p[k]) for k in m.p) and not hasattr(mapped.vocab, "__len__")
+    got, want = ({(r["topic"], r["word"]): r["weight"] for r in x.beta().collect()} for x in (mapped, held))
+    assert got == pytest.approx(want) and len(got) == 2 * m.p["wd"].shape[1]
+
+
 def test_topic_query_reads_documents(spark, tmp_path):
     docs = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + j) % 9}" for j in range(12)), "en") for i in range(40)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
