@@ -273,6 +273,26 @@ def test_subwords_and_nearest(spark):
         embeddings.nearest(rows, rows, 1, most_queries=2)
 
 
+def test_nearest_multiplies_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(embeddings, "TABLE_BLOCK", 30)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (200, 6)).astype(float)  # with many ties
+    x[[20, 40, 60]] = 0
+    vectors = [*map(list, x.tolist()), None, [1.0, None, 2.0, 0.0, 0.0, 1.0], [1.0, 2.0], [float("nan")] * 6, [1e200] * 6]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 10 = 0 or vec_id > 198")
+    for k in (4, 300):
+        found = embeddings.nearest(queries, rows, k)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["cosine"])) for r in found.collect())
+        pairs = rows.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.expr("vec_id <> query_id")).withColumn("cosine", scores.cosine(F.col("q"), F.col("embedding")))
+        w = W.partitionBy("query_id").orderBy(scores.rounded("cosine", 9).desc_nulls_last(), "vec_id")
+        want = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        assert got == sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["cosine"])) for r in want.collect())
+    plan = embeddings.nearest(rows.where("vec_id < 200"), rows.where("vec_id < 200"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+
+
 def test_networks(spark, tmp_path):
     rng = np.random.default_rng(0)
     x, w, b = rng.standard_normal((7, 3)), rng.standard_normal((5, 3, 2)), rng.standard_normal(2)
