@@ -153,6 +153,25 @@ def test_vocabulary_and_bags(spark):
     assert topics.kept_documents(only_first).count() == 0 and topics.kept_documents(bag).count() == 3
 
 
+@pytest.mark.parametrize("name", ["bag_of_words"])
+def test_word_queries_equal_sql_on_odd_documents(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(topics, "POSTED_WORDS", 10)
+    docs = [(1, "b a b c"), (2, "a a"), (3, None), (4, ""), (5, "Z z"), (None, "b q"), (6, "a"), (7, "é ü é 日本")]
+    for extra in ([], [(1, "b zz"), (2, "a"), (None, "a b"), (3, "x")]):  # the second time with doc_ids that repeat
+        at = f"{tmp_path}/{len(extra)}"
+        spark.createDataFrame([(*d, "en") for d in docs + extra], "doc_id long, text string, lang string").repartition(3).write.parquet(f"{at}/documents.parquet")
+        df = plans.QUERIES[name](spark, at)
+        with duckdb.connect() as db:
+            db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+            want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_word_queries_move_no_pairs_of_document_and_word(spark):
+    plan = lambda n: plans.QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan("bag_of_words") and "HashAggregate" not in plan("bag_of_words").split("Scan")[0]
+
+
 def test_topic_dictionary(spark):
     table = topics.topic_table({"Problem": ["boom"], "New": ["zip"]})
     assert [t for t, _ in table][-1] == "New" and dict(table)["Problem"] == ["boom"] and len(table) == 11
