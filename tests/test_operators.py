@@ -153,7 +153,7 @@ def test_vocabulary_and_bags(spark):
     assert topics.kept_documents(only_first).count() == 0 and topics.kept_documents(bag).count() == 3
 
 
-@pytest.mark.parametrize("name", ["bag_of_words", "doc_filter"])
+@pytest.mark.parametrize("name", ["bag_of_words", "doc_filter", "perplexity"])
 def test_word_queries_equal_sql_on_odd_documents(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(topics, "POSTED_WORDS", 10)
     docs = [(1, "b a b c"), (2, "a a"), (3, None), (4, ""), (5, "Z z"), (None, "b q"), (6, "a"), (7, "é ü é 日本")]
@@ -170,6 +170,7 @@ def test_word_queries_equal_sql_on_odd_documents(spark, tmp_path, monkeypatch, n
 def test_word_queries_move_no_pairs_of_document_and_word(spark):
     plan = lambda n: plans.QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan("bag_of_words") and "HashAggregate" not in plan("bag_of_words").split("Scan")[0]
+    assert "Exchange hashpartitioning(doc_id" not in plan("perplexity") and "Join" not in plan("perplexity")
     assert "word_id" not in plan("doc_filter") and "SortMergeJoin" not in plan("doc_filter")
 
 
