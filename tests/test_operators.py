@@ -348,6 +348,24 @@ def test_networks(spark, tmp_path):
         assert got[1]["score"] == pytest.approx([want[1], want[2], want[0]]) and got[2]["score"] is None and got[3]["sentiment"] is None
 
 
+def test_tagger_takes_a_few_sentences_at_a_time(spark):
+    few, n = neural.tag_rows, 600
+    toks = [[f"t{(i * j) % 11}" for j in range(i % 9)] if i % 7 else None for i in range(n)]
+    toks[500] = ["t1"] * 150
+    df = spark.createDataFrame([(i, t, None if t is None else [(i + j) % 46 for j in range(len(t))]) for i, t in enumerate(toks)], "item long, toks array<string>, tag_ids array<int>").coalesce(1)
+    known = {f"t{i}": np.full(2, i / 7) for i in range(9)}
+    w = neural.random_tagger(2, 2, filters=2)
+    got = neural.infer_labels(df, "item", "toks", "tag_ids", known, known, w, 130)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r["item"]: r["labels"] for r in got.collect()}
+    assert len(rows) == n and all(len(rows[i]) == len(t or []) for i, t in enumerate(toks))
+    look = lambda t, width: np.array([known.get(x, np.zeros(2)) for x in t] + [np.zeros(2)] * (width - len(t)))
+    for i in (1, 5, 8, 130, 255, 499, 500, 599):
+        t = toks[i] or []
+        v, tags = look(t, max(130, len(t))), np.array([(i + j) % 46 for j in range(len(t))] + [0] * (max(130, len(t)) - len(t)))
+        assert rows[i] == neural.labels_of(few(v[None], v[None], tags[None], w))[0, : len(t)].tolist()
+
+
 def test_aspect_scorer(spark):
     rng = np.random.default_rng(1)
     vectors, weights = {w: rng.standard_normal(4) for w in ("the", "food", "was", "good")}, neural.random_gate(4, 4, maps=3)
